@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
+from signalloom.llm.history import features, repeats
 from signalloom.llm.sentences import sentences
 from signalloom.sources.tables import table
 
@@ -13,5 +16,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"p9_found": p9_found}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of a later batch that repeats a row of an earlier one, with the first row of its group."""
+    parts = [("entries", "ingest_seq", "content"), ("sources", "ingest_seq", "url"), ("oa_works", "rec_id", "openalex_id")]
+    return repeats(reduce(DataFrame.unionByName, [features(table(spark, folder, t), t, key, field) for t, key, field in parts]))
+
+
+QUERIES = {"p3_found": p3_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
