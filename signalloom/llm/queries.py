@@ -8,19 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 from signalloom.llm.history import features, repeats
 from signalloom.llm.sentences import sentences
+from signalloom.llm.storage import written
+from signalloom.llm.survivors import survivors
+from signalloom.llm.works import cross_matches, prepare, unified, works
 from signalloom.sources.tables import table
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """For each group of records of one work within a table, the record whose value survives, by field."""
+    tables = [table(spark, folder, t) for t in ("s2_papers", "oa_works", "arxiv_papers")]
+    return survivors(tables[0], tables[1], works(written(prepare(unified(*tables)), "records")))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence of every text."""
     return sentences(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records of different tables that describe the same work."""
+    rows = unified(*[table(spark, folder, t) for t in ("s2_papers", "oa_works", "arxiv_papers")])
+    return cross_matches(works(written(prepare(rows), "records")))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of a later batch that repeats a row of an earlier one, with the first row of its group."""
     parts = [("entries", "ingest_seq", "content"), ("sources", "ingest_seq", "url"), ("oa_works", "rec_id", "openalex_id")]
     return repeats(reduce(DataFrame.unionByName, [features(table(spark, folder, t), t, key, field) for t, key, field in parts]))
 
 
-QUERIES = {"p3_found": p3_found, "p9_found": p9_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
