@@ -5,8 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from signalloom.llm.history import features, repeats
+from signalloom.llm.names import title_keys, variants
 from signalloom.llm.sentences import sentences
 from signalloom.llm.storage import written
 from signalloom.llm.survivors import survivors
@@ -25,6 +27,13 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of author spellings that name the same person or organisation."""
+    parts = [table(spark, folder, t).select("authors", "title") for t in ("s2_papers", "oa_works", "arxiv_papers")]
+    mentions = title_keys(reduce(DataFrame.unionByName, parts), "authors").select(F.explode("authors").alias("name"), F.xxhash64("t").alias("t"))
+    return variants(mentions, table(spark, folder, "given_forms"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of records of different tables that describe the same work."""
     rows = unified(*[table(spark, folder, t) for t in ("s2_papers", "oa_works", "arxiv_papers")])
@@ -37,5 +46,5 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(reduce(DataFrame.unionByName, [features(table(spark, folder, t), t, key, field) for t, key, field in parts]))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found}
 SQL: dict[str, str] = {}
