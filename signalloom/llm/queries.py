@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm.history import features, repeats
+from signalloom.llm.mixing import mixed, shares
 from signalloom.llm.names import title_keys, variants
+from signalloom.llm.packing import fill, packed
 from signalloom.llm.sentences import sentences
 from signalloom.llm.storage import written
 from signalloom.llm.survivors import survivors
@@ -22,6 +24,26 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors(tables[0], tables[1], works(written(prepare(unified(*tables)), "records")))
 
 
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, or piece of a larger one, with its container for each spec."""
+    return packed(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "bin_specs"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each spec are."""
+    return fill(p7_pack(spark, folder), table(spark, folder, "bin_specs"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of the sources of documents, block by block."""
+    return mixed(table(spark, folder, "documents").select("doc_id", "text", "source"), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached against the targets."""
+    return shares(p8_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every sentence of every text."""
     return sentences(table(spark, folder, "documents").select("doc_id", "text"))
@@ -46,5 +68,5 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(reduce(DataFrame.unionByName, [features(table(spark, folder, t), t, key, field) for t, key, field in parts]))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL: dict[str, str] = {}
