@@ -60,7 +60,8 @@ def blocks(docs: DataFrame, sources: DataFrame, block: int = BLOCK, seed: int =
     sized = docs.where("source is not null").join(sources.select("source").distinct(), "source", "left_semi")
     sized = written(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "source", token_count(F.col("text")).alias("tokens")).where("tokens > 0"), "sized")
     buckets = max(8, sized.count() // ROWS_PER_BUCKET)
-    rows = sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
+    # The row's place is part of the hash, so that repeated ids spread over the buckets too.
+    rows = sized.withColumn("h", F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(seed))).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("sum"))
     base = sums.withColumn("base", F.coalesce(F.sum("sum").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     inner = W.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -62,7 +62,7 @@ def pieces(sized: DataFrame, capacity: int) -> DataFrame:
     return each.select("doc_id", "piece", start.alias("tok_start"), F.least(F.lit(capacity).cast("long"), F.col("all") - start).alias("tokens"))
 
 
-def _packer(capacity: int, key: str, out: str):
+def _packer(capacity: int, out: str):
     """Packs the rows of one partition in their order; ``out`` windows are named by partition and number, left ones marked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,8 +90,9 @@ def pack(sized: DataFrame, name: str, capacity: int) -> DataFrame:
     total = rest.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     count = max(1, (total.t or 0) // (capacity * PER_PARTITION), total.n // 200_000)
     schema = "doc_id long, piece int, tok_start long, tokens long, window long, used long"
-    placed = rest.repartition(count, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "tok_start", "tokens")
-    placed = written(placed.mapInPandas(_packer(capacity, "doc_id", "window"), schema), "placed")
+    # Dealt out in turn, as one doc_id may hold many rows; the order inside a partition is fixed by a hash.
+    placed = rest.repartition(count).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "tok_start", "tokens")
+    placed = written(placed.mapInPandas(_packer(capacity, "window"), schema), "placed")
 
     # Rounds of merging what was left open: old window -> new window.
     open_ = placed.where("used >= 0").groupBy("window").agg(F.max("used").alias("tokens"))
@@ -100,7 +101,7 @@ def pack(sized: DataFrame, name: str, capacity: int) -> DataFrame:
     while True:
         count = -(-count // FAN_IN)
         merged = open_.repartition(count, F.xxhash64(F.expr("window >> 32"))).sortWithinPartitions(F.desc("tokens"), "window")
-        merged = written(merged.mapInPandas(_packer(capacity, "window", "into"), "window long, tokens long, into long, used long"), "merged")
+        merged = written(merged.mapInPandas(_packer(capacity, "into"), "window long, tokens long, into long, used long"), "merged")
         # Levels number their windows apart from each other.
         step = merged.select("window", (F.col("into") + F.lit(level << 56)).alias("into"), "used", "tokens")
         pairs = step.select("window", "into")
@@ -113,8 +114,8 @@ def pack(sized: DataFrame, name: str, capacity: int) -> DataFrame:
         open_ = step.where("used >= 0").groupBy(F.col("into").alias("window")).agg(F.sum("tokens").alias("tokens"))
         level += 1
     final = placed.join(moves, "window", "left").select(F.coalesce("into", "window").alias("container"), "doc_id", "piece", "tok_start", "tokens")
-    # A full piece is a container of its own; it is named by its text and place.
-    own = whole.select((F.lit(-1) - F.abs(F.xxhash64("doc_id", "piece") % (1 << 62))).alias("container"), "doc_id", "piece", "tok_start", "tokens")
+    # A full piece is a container of its own.
+    own = written(whole, "whole").select((F.lit(-1) - F.monotonically_increasing_id()).alias("container"), "doc_id", "piece", "tok_start", "tokens")
     return final.unionByName(own).select(F.lit(name).alias("bin_name"), "container", "doc_id", "piece", "tok_start", "tokens")
 
 
