@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalloom.functions.text import from_inverted, plain_doi, squeezed, url_encoded
 
@@ -20,7 +21,7 @@ def _or_empty(c: Column, kind: str = "array<string>") -> Column:
 
 def arxiv_entries(spark: SparkSession, path: str) -> DataFrame:
     """arXiv Atom files: one row per entry with an id."""
-    raw = spark.read.format("xml").option("rowTag", "entry").schema(ATOM[7:-1].replace(":", " ", 0)).load(path)
+    raw = spark.read.format("xml").option("rowTag", "entry").schema(T.StructType.fromDDL(f"e {ATOM}")["e"].dataType).load(path)
     return _arxiv(raw)
 
 
