@@ -1,4 +1,4 @@
-"""Scores: keywords, urgency, priority, cost, novelty, usefulness."""
+"""Scores: keywords, urgency, priority, similarity, usefulness."""
 
 from __future__ import annotations
 
@@ -59,18 +59,6 @@ def is_critical(confidence: Column, urgency: Column) -> Column:
     return (urgency_rank(urgency) == 3) | (confidence >= F.lit(0.95).cast("float"))
 
 
-def should_publish(confidence: Column, urgency: Column, least: float = 0.8) -> Column:
-    return (confidence >= F.lit(least).cast("float")) & (urgency_rank(urgency) >= 2)
-
-
-def cost_microunits(model: Column, tokens_in: Column, tokens_out: Column, cache_read: Column, cache_made: Column) -> Column:
-    """Cost of one call; rates per token by tier, unknown models as the middle tier."""
-    rate_in = F.when(model == "top", 5).when(model == "small", 1).otherwise(3)
-    rate_out = F.when(model == "top", 25).when(model == "small", 5).otherwise(15)
-    fresh = tokens_in * rate_in + tokens_out * rate_out
-    return (fresh + F.round(cache_read * rate_in * 0.1) + F.round(cache_made * rate_in * 1.25)).cast("long")
-
-
 def budget_allows(spent: Column, budget: Column, call: int = 1000) -> Column:
     return budget.isNull() | (spent + call <= budget)
 
@@ -117,7 +105,3 @@ def backoff_seconds(failures: Column) -> Column:
 
 def citation(title: Column, authors: Column, year: Column, venue: Column, url: Column) -> Column:
     return F.concat(F.lit('"'), title, F.lit('" by '), authors, F.lit(" ("), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit("). "), F.when(venue.isNotNull(), F.concat(venue, F.lit(" — "))).otherwise(""), url)
-
-
-def color_bucket(score: Column) -> Column:
-    return F.when(score >= 0.9, 15158332).when(score >= 0.7, 15105570).when(score >= 0.5, 15844367).otherwise(9807270)

@@ -1,11 +1,11 @@
-"""Outcomes: usefulness, dispositions, weakness links, publishing."""
+"""Outcomes: usefulness, dispositions, weakness links."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.functions.scoring import should_publish, usefulness
+from signalloom.functions.scoring import usefulness
 
 
 def useful_by(rows: DataFrame, key: str) -> DataFrame:
@@ -30,13 +30,3 @@ def linked(findings: DataFrame, weaknesses: DataFrame) -> DataFrame:
     text = F.lower(F.coalesce("text", F.lit("")))
     fits = F.filter("all", lambda w: F.coalesce(F.array_contains(w["domains"], F.col("domain")), F.lit(False)) | F.contains(text, F.lower(w["weakness_code"])) | F.exists(F.split(F.lower(w["weakness_code"]), r"[_\-\s]+"), lambda x: (F.length(x) > 2) & F.contains(text, x)))
     return f.select("id", F.get(fits, F.lit(0))["weakness_code"].alias("weakness_code"))
-
-
-def publish_cycle(findings: DataFrame, published: DataFrame, cap: int, least: float = 0.8) -> DataFrame:
-    """id, result: skipped_gate, skipped_dup, published or capped; the cap counts published rows in the order of priority and id."""
-    f = findings.join(published.select("id", F.lit(True).alias("was")).distinct(), "id", "left")
-    gate = should_publish(F.col("confidence"), F.col("urgency"), least)
-    f = f.select("id", "priority_score", F.when(~F.coalesce(gate, F.lit(False)), "skipped_gate").when(F.col("was"), "skipped_dup").otherwise("open").alias("result"))
-    # The cap is met by a top-k, not by a window over all rows.
-    top = f.where("result = 'open'").orderBy(F.desc("priority_score"), "id").limit(cap).select("id", F.lit(True).alias("now"))
-    return f.join(top, "id", "left").select("id", F.when(F.col("result") != "open", F.col("result")).when(F.col("now"), "published").otherwise("capped").alias("result"))

@@ -1,4 +1,4 @@
-"""State as change logs: circuit breaker, watermarks, leases, budgets."""
+"""State as change logs: circuit breaker, watermarks, budgets."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-MAX_ATTEMPTS = 5
 BREAK_AT = 3
 
 
@@ -46,31 +45,3 @@ def within_budget(calls: DataFrame, by: str, order: list[Column], cost: Column,
     w = W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     spent = calls.withColumn("spent_before", F.coalesce(F.sum(cost).over(w), F.lit(0)))
     return spent.where(F.col("spent_before") + reserve <= budget)
-
-
-def claimable(jobs: DataFrame, now: Column) -> DataFrame:
-    free = (F.col("status") == "pending") | ((F.col("status") == "running") & (F.col("lease_expires_at") < now))
-    return jobs.where(free & (F.col("attempt_count") < MAX_ATTEMPTS))
-
-
-def reclaimed(jobs: DataFrame, now: Column) -> DataFrame:
-    """Jobs after expired leases were taken back: failed beyond the attempts, else pending."""
-    expired = (F.col("status") == "running") & (F.col("lease_expires_at") < now)
-    dead = expired & (F.col("attempt_count") >= MAX_ATTEMPTS)
-    return jobs.withColumn("action", F.when(dead, "dead_letter").when(expired, "reclaimed").otherwise("kept")).withColumn("status", F.when(dead, "failed").when(expired, "pending").otherwise(F.col("status")))
-
-
-def claimed(jobs: DataFrame, job_id: str, token: str, now: Column, minutes: int = 5) -> DataFrame:
-    """Compare-and-set claim of one job as a transform of the job table."""
-    hit = (F.col("id") == job_id) & ((F.col("status") == "pending") | ((F.col("status") == "running") & (F.col("lease_expires_at") < now)))
-    lease = now + F.expr(f"INTERVAL {minutes} MINUTES")
-    return jobs.select(*[
-        (F.when(hit, F.lit("running")).otherwise(F.col(c)) if c == "status" else F.when(hit, F.lit(token)).otherwise(F.col(c)) if c == "lease_token" else F.when(hit, lease).otherwise(F.col(c)) if c == "lease_expires_at" else F.when(hit, F.col(c) + 1).otherwise(F.col(c)) if c == "attempt_count" else F.col(c)).alias(c)
-        for c in jobs.columns
-    ])
-
-
-def fenced(jobs: DataFrame, job_id: str, token: str, status: str) -> DataFrame:
-    """Completion that only the holder of the lease can make."""
-    hit = (F.col("id") == job_id) & (F.col("lease_token") == token) & (F.col("status") == "running")
-    return jobs.withColumn("status", F.when(hit, status).otherwise(F.col("status")))

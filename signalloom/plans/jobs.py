@@ -6,29 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.operators.relational import latest, page
-from signalloom.operators.state import claimable, reclaimed
 from signalloom.sources.tables import table
 
-NOW = "2024-06-01"
-
 
 def _jobs(spark: SparkSession, folder: str) -> DataFrame:
     o = table(spark, folder, "orders")
     status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "running").otherwise("complete")
-    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("profile_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderkey") % 7).cast("int").alias("attempt_count"), (F.col("o_orderdate") + F.expr("INTERVAL 5 MINUTES")).alias("lease_expires_at"))
-
-
-_JOBS = "SELECT o_orderkey AS id, o_custkey AS profile_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'running' ELSE 'complete' END AS status, o_orderdate AS created_at, (o_orderkey % 7)::INT AS attempt_count, o_orderdate + INTERVAL 5 MINUTE AS lease_expires_at FROM orders"
-
-
-def claimable_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    c = claimable(_jobs(spark, folder), F.expr(f"timestamp_ntz'{NOW}'"))
-    return page(c.select("id", "status", "created_at"), [F.asc("created_at"), F.asc("id")], 50)
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("profile_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
 
 
-def reclaim_dead_letter(spark: SparkSession, folder: str) -> DataFrame:
-    r = reclaimed(_jobs(spark, folder), F.expr(f"timestamp_ntz'{NOW}'"))
-    return r.groupBy("action", "status").agg(F.count("*").alias("jobs"))
+_JOBS = "SELECT o_orderkey AS id, o_custkey AS profile_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'running' ELSE 'complete' END AS status, o_orderdate AS created_at FROM orders"
 
 
 def active_job_latest(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,10 +46,8 @@ def profile_upsert_enqueue(spark: SparkSession, folder: str) -> DataFrame:
     return p.join(active, "profile_id", "left_anti")
 
 
-QUERIES = {f.__name__: f for f in (claimable_jobs, reclaim_dead_letter, active_job_latest, scan_history, upsert_item_score_latest, profile_cascade_delete, profile_upsert_enqueue)}
+QUERIES = {f.__name__: f for f in (active_job_latest, scan_history, upsert_item_score_latest, profile_cascade_delete, profile_upsert_enqueue)}
 SQL = {
-    "claimable_jobs": f"SELECT id, status, created_at FROM ({_JOBS}) WHERE (status = 'pending' OR (status = 'running' AND lease_expires_at < TIMESTAMP '{NOW}')) AND attempt_count < 5 ORDER BY created_at, id LIMIT 50",
-    "reclaim_dead_letter": f"SELECT action, CASE action WHEN 'dead_letter' THEN 'failed' WHEN 'reclaimed' THEN 'pending' ELSE status END AS status, count(*) AS jobs FROM (SELECT *, CASE WHEN status = 'running' AND lease_expires_at < TIMESTAMP '{NOW}' THEN CASE WHEN attempt_count >= 5 THEN 'dead_letter' ELSE 'reclaimed' END ELSE 'kept' END AS action FROM ({_JOBS})) GROUP BY 1, 2",
     "active_job_latest": f"SELECT profile_id, id, status, created_at FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY created_at DESC, id DESC) AS rn FROM ({_JOBS}) WHERE status IN ('pending', 'running')) WHERE rn = 1",
     "scan_history": f"SELECT id, profile_id, status, created_at FROM ({_JOBS}) ORDER BY created_at DESC, id DESC LIMIT 100",
     "upsert_item_score_latest": "SELECT entry_id, profile_id, score FROM (SELECT l_partkey AS entry_id, l_suppkey AS profile_id, l_discount AS score, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_discount DESC) AS rn FROM lineitem) WHERE rn = 1",

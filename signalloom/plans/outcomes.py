@@ -1,12 +1,12 @@
-"""Queries on findings: actionability, novelty, publishing, feedback."""
+"""Queries on findings: actionability, novelty, feedback."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.functions.scoring import adjusted, citation, color_bucket, cost_microunits, disposition_class, is_actionable, is_critical, priority, urgency_rank
-from signalloom.operators.feedback import linked, publish_cycle, reduced, useful_by
+from signalloom.functions.scoring import adjusted, citation, disposition_class, is_actionable, is_critical, priority, urgency_rank
+from signalloom.operators.feedback import linked, reduced, useful_by
 from signalloom.operators.relational import in_chunks, page, upserted
 from signalloom.operators.vectors import novelty
 from signalloom.sources.tables import table
@@ -32,7 +32,7 @@ _PUBLISHED = "SELECT id, source_type AS source_kind, domain, CASE WHEN confidenc
 
 def urgency_priority_rank(spark: SparkSession, folder: str) -> DataFrame:
     p = priority(F.col("urgency"), F.col("confidence"), F.col("impact_weight"))
-    return _findings(spark, folder).select("id", urgency_rank(F.col("urgency")).alias("urgency_rank"), F.round(p, 4).alias("priority"), is_critical(F.col("confidence"), F.col("urgency")).alias("critical"), color_bucket(F.col("confidence")).alias("color"))
+    return _findings(spark, folder).select("id", urgency_rank(F.col("urgency")).alias("urgency_rank"), F.round(p, 4).alias("priority"), is_critical(F.col("confidence"), F.col("urgency")).alias("critical"))
 
 
 def actionable_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,11 +88,6 @@ def weakness_contexts_union(spark: SparkSession, folder: str) -> DataFrame:
     return each.join(per, "domain", "left").groupBy("ord", "code").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
 
 
-def publish_cycle_cap(spark: SparkSession, folder: str) -> DataFrame:
-    f = _findings(spark, folder)
-    return publish_cycle(f.select("id", "confidence", "urgency", "priority_score"), f.where("id like '%7'").select("id"), 5)
-
-
 def published_upsert_preserve_outcome(spark: SparkSession, folder: str) -> DataFrame:
     """Yesterday's published findings, republished with new confidences: outcome and time stay."""
     p = _published(spark, folder)
@@ -116,17 +111,12 @@ def novelty_max_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return n.select("vec_id", F.round("max_similarity", 5).alias("max_similarity"), F.round("novelty", 5).alias("novelty"))
 
 
-def pricing_microunits(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "events").select("event_id", F.when(F.col("event_type") == "purchase", "top").when(F.col("event_type") == "view", "small").otherwise("mid").alias("model"), F.floor(F.coalesce("value", F.lit(0.0))).cast("long").alias("v"))
-    return e.select("event_id", cost_microunits(F.col("model"), F.col("v"), F.col("v") % 97, F.col("v") % 41, F.col("v") % 13).alias("cost"))
-
-
 def evaluation_adjust(spark: SparkSession, folder: str) -> DataFrame:
     f = _findings(spark, folder)
     return f.select("id", F.round(adjusted(F.col("confidence").cast("double"), F.when(F.col("urgency") == "high", 0.1).otherwise(-0.3), F.col("urgency") == "low"), 5).alias("confidence"))
 
 
-QUERIES = {f.__name__: f for f in (urgency_priority_rank, actionable_findings, findings_by_urgency, paper_citation, source_usefulness, domain_usefulness, outcome_totals, pending_outcomes_topn, reduce_dispositions, weakness_link_theta, weakness_contexts_union, publish_cycle_cap, published_upsert_preserve_outcome, notification_batches, novelty_max_cosine, pricing_microunits, evaluation_adjust)}
+QUERIES = {f.__name__: f for f in (urgency_priority_rank, actionable_findings, findings_by_urgency, paper_citation, source_usefulness, domain_usefulness, outcome_totals, pending_outcomes_topn, reduce_dispositions, weakness_link_theta, weakness_contexts_union, published_upsert_preserve_outcome, notification_batches, novelty_max_cosine, evaluation_adjust)}
 _URANK = "CASE urgency WHEN 'low' THEN 0 WHEN 'high' THEN 2 WHEN 'critical' THEN 3 ELSE 1 END"
 
 
@@ -136,7 +126,7 @@ def _useful(key: str) -> str:
 
 _W = " UNION ALL ".join(f"SELECT {o} AS ord, '{c}' AS code, {d!r} AS domains" for o, c, d in WEAKNESSES)
 SQL = {
-    "urgency_priority_rank": f"SELECT id, {_URANK} AS urgency_rank, round(({_URANK} + 1) * 0.5::DOUBLE + confidence::DOUBLE * 0.3::DOUBLE + impact_weight::DOUBLE * 0.2::DOUBLE, 4) AS priority, {_URANK} = 3 OR confidence >= 0.95::FLOAT AS critical, CASE WHEN confidence::DOUBLE >= 0.9 THEN 15158332 WHEN confidence::DOUBLE >= 0.7 THEN 15105570 WHEN confidence::DOUBLE >= 0.5 THEN 15844367 ELSE 9807270 END AS color FROM findings",
+    "urgency_priority_rank": f"SELECT id, {_URANK} AS urgency_rank, round(({_URANK} + 1) * 0.5::DOUBLE + confidence::DOUBLE * 0.3::DOUBLE + impact_weight::DOUBLE * 0.2::DOUBLE, 4) AS priority, {_URANK} = 3 OR confidence >= 0.95::FLOAT AS critical FROM findings",
     "actionable_findings": f"SELECT id, title, urgency, round(priority_score::DOUBLE, 4) AS priority FROM findings WHERE confidence >= 0.4::FLOAT AND {_URANK} > 0 ORDER BY priority DESC, id LIMIT 100",
     "findings_by_urgency": "SELECT id, domain, discovered_at FROM findings WHERE urgency = 'high'",
     "paper_citation": "SELECT id, '\"' || c.title || '\" by ' || c.authors || ' (' || coalesce(c.year::VARCHAR, 'n.d.') || '). ' || CASE WHEN c.venue IS NOT NULL THEN c.venue || ' — ' ELSE '' END || c.url AS citation FROM (SELECT id, cited_paper AS c FROM findings WHERE cited_paper IS NOT NULL)",
@@ -147,10 +137,8 @@ SQL = {
     "reduce_dispositions": "WITH f AS (SELECT id AS finding_id, unnest(CASE WHEN related_entry_ids IS NULL OR len(related_entry_ids) = 0 THEN [NULL] ELSE related_entry_ids END) AS entry_id FROM findings), j AS (SELECT finding_id, CASE WHEN relevance_score >= 0.6 THEN 'favorable' WHEN relevance_score < 0.5 THEN 'unfavorable' ELSE 'pending' END AS d FROM f LEFT JOIN entries e ON e.id = f.entry_id) SELECT finding_id, CASE WHEN bool_or(d = 'favorable') THEN 'favorable' WHEN bool_and(d = 'unfavorable') THEN 'unfavorable' ELSE 'pending' END AS disposition FROM j GROUP BY finding_id",
     "weakness_link_theta": f"WITH w AS ({_W}), m AS (SELECT f.id, min(w.ord) AS ord FROM findings f JOIN w ON list_contains(w.domains, f.domain) OR contains(lower(concat_ws(' ', f.title, f.summary)), lower(w.code)) OR len(list_filter(regexp_split_to_array(lower(w.code), '[_\\-\\s]+'), lambda x: length(x) > 2 AND contains(lower(concat_ws(' ', f.title, f.summary)), x))) > 0 GROUP BY f.id) SELECT f.id, w.code AS weakness_code FROM findings f LEFT JOIN m ON m.id = f.id LEFT JOIN w ON w.ord = m.ord",
     "weakness_contexts_union": f"WITH w AS ({_W}), x AS (SELECT ord, code, unnest(domains) AS domain FROM w UNION ALL SELECT rank + 100, code, NULL FROM (VALUES {', '.join(f'({r}, {c!r})' for r, c, _ in sorted(LEDGER)[:3])}) t(rank, code)) SELECT ord, code, coalesce(sum(n), 0)::BIGINT AS findings FROM x LEFT JOIN (SELECT domain, count(*) AS n FROM findings GROUP BY domain) p ON p.domain = x.domain GROUP BY ord, code",
-    "publish_cycle_cap": f"WITH f AS (SELECT id, priority_score, CASE WHEN NOT coalesce(confidence >= 0.8::FLOAT AND {_URANK} >= 2, false) THEN 'skipped_gate' WHEN id LIKE '%7' THEN 'skipped_dup' ELSE 'open' END AS result FROM findings), t AS (SELECT id FROM f WHERE result = 'open' ORDER BY priority_score DESC, id LIMIT 5) SELECT id, CASE WHEN result <> 'open' THEN result WHEN id IN (SELECT id FROM t) THEN 'published' ELSE 'capped' END AS result FROM f",
     "published_upsert_preserve_outcome": f"SELECT id, source_kind, domain, CASE WHEN id LIKE '%3' THEN 'pending' ELSE outcome END AS outcome, published_at, round(CASE WHEN id LIKE '%1' OR id LIKE '%3' THEN (confidence::DOUBLE / 2)::FLOAT ELSE confidence END::DOUBLE, 4) AS confidence FROM ({_PUBLISHED})",
     "notification_batches": "SELECT id, domain, ((row_number() OVER (PARTITION BY domain ORDER BY confidence DESC, id) - 1) // 10)::INT AS chunk FROM findings WHERE confidence >= 0.5::FLOAT AND id NOT LIKE '%5'",
     "novelty_max_cosine": "SELECT vec_id, round(s, 5) AS max_similarity, round(least(1, greatest(0, 1 - s)), 5) AS novelty FROM (SELECT q.vec_id, max(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS s FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 AND p.vec_id % 100 <> 0 GROUP BY q.vec_id)",
-    "pricing_microunits": "SELECT event_id, (v * i + (v % 97) * o + round((v % 41) * i * 0.1::DOUBLE) + round((v % 13) * i * 1.25::DOUBLE))::BIGINT AS cost FROM (SELECT event_id, floor(coalesce(value, 0))::BIGINT AS v, CASE event_type WHEN 'purchase' THEN 5 WHEN 'view' THEN 1 ELSE 3 END AS i, CASE event_type WHEN 'purchase' THEN 25 WHEN 'view' THEN 5 ELSE 15 END AS o FROM events)",
     "evaluation_adjust": "SELECT id, round(least(1::DOUBLE, greatest(0::DOUBLE, confidence::DOUBLE + CASE WHEN urgency = 'high' THEN 0.1::DOUBLE ELSE -0.3::DOUBLE END)) * CASE WHEN urgency = 'low' THEN 0.5::DOUBLE ELSE 1 END, 5) AS confidence FROM findings",
 }

@@ -61,12 +61,6 @@ def test_text(spark):
 
 
 def test_scalars(spark):
-    cost = lambda m, *n: val(spark, S.cost_microunits(F.lit(m), *[F.lit(x) for x in n]))
-    assert cost("mid", 1000, 500, 0, 0) == 10500
-    assert cost("top", 2000, 1000, 0, 0) == 35000
-    assert cost("small", 1000, 1000, 0, 0) == 6000
-    assert cost("other", 1000, 500, 0, 0) == 10500
-    assert cost("mid", 0, 0, 1000, 0) == 300
     assert [val(spark, S.backoff_seconds(F.lit(n))) for n in (0, 4, 5, 6, 9)] == [0, 0, 30, 60, 300]
     assert [val(spark, S.disposition_class(F.lit(s))) for s in (" Applied", "blocked", "", "weird")] == ["favorable", "unfavorable", "pending", "pending"]
     assert val(spark, S.adjusted(F.lit(0.8), F.lit(-0.3), F.lit(True))) == pytest.approx(0.25)

@@ -42,18 +42,6 @@ def test_breaker(spark):
     assert got == {"arxiv": 0, "s2": 3, "oa": 0, "bad": 1}
 
 
-def test_leases(spark):
-    now = F.lit("2024-01-01 12:00").cast("timestamp")
-    rows = [("a", "pending", None, "2024-01-01 11:00", 0), ("b", "running", "t1", "2024-01-01 11:00", 1), ("c", "running", "t2", "2024-01-01 11:00", 5), ("d", "running", "t3", "2024-01-01 13:00", 1)]
-    jobs = spark.createDataFrame(rows, "id string, status string, lease_token string, lease string, attempt_count int").withColumn("lease_expires_at", F.col("lease").cast("timestamp")).drop("lease")
-    assert {r.id for r in state.claimable(jobs, now).collect()} == {"a", "b"}
-    assert {r.id: (r.action, r.status) for r in state.reclaimed(jobs, now).collect()} == {"a": ("kept", "pending"), "b": ("reclaimed", "pending"), "c": ("dead_letter", "failed"), "d": ("kept", "running")}
-    mine = state.claimed(jobs, "a", "tok", now)
-    assert mine.where("id = 'a'").first().attempt_count == 1
-    assert state.fenced(mine, "a", "wrong", "complete").where("id = 'a'").first().status == "running"
-    assert state.fenced(mine, "a", "tok", "complete").where("id = 'a'").first().status == "complete"
-
-
 def test_budget(spark):
     calls = spark.createDataFrame([("p", i, 4000) for i in range(3)], "p string, i int, cost int")
     assert state.within_budget(calls, "p", [F.col("i")], F.col("cost"), 8500).count() == 2
@@ -67,13 +55,6 @@ def test_usefulness_and_dispositions(spark):
     assert {r.k: r.disposition for r in feedback.reduced(d, "k", F.col("d")).collect()} == {1: "favorable", 2: "unfavorable", 3: "pending", 4: "pending"}
 
 
-def test_publish_cap(spark):
-    f = spark.createDataFrame([(f"f{i}", 0.9, "high", float(i)) for i in range(7)] + [("low", 0.7, "high", 9.0), ("mid", 0.9, "medium", 9.0), ("dup", 0.9, "critical", 9.0)], "id string, confidence float, urgency string, priority_score double")
-    done = spark.createDataFrame([("dup",)], "id string")
-    got = [r.result for r in feedback.publish_cycle(f, done, 5).collect()]
-    assert sorted(got) == sorted(["published"] * 5 + ["capped"] * 2 + ["skipped_gate"] * 2 + ["skipped_dup"])
-
-
 def test_watermarks(spark):
     items = spark.createDataFrame([("a", 1), ("a", 5), ("a", None), ("b", 1)], "k string, t int")
     marks = spark.createDataFrame([("a", 3)], "k string, mark int")
