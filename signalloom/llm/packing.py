@@ -108,7 +108,7 @@ def pack(sized: DataFrame, name: str, capacity: int) -> DataFrame:
         if moves is None:
             moves = pairs
         else:
-            moves = moves.join(pairs.withColumnsRenamed({"window": "into", "into": "later"}), "into", "left").select("window", F.coalesce("later", "into").alias("into"))
+            moves = moves.join(pairs.select(F.col("window").alias("into"), F.col("into").alias("later")), "into", "left").select("window", F.coalesce("later", "into").alias("into"))
         if count == 1:
             break
         open_ = step.where("used >= 0").groupBy(F.col("into").alias("window")).agg(F.sum("tokens").alias("tokens"))
