@@ -197,6 +197,19 @@ class _Text:
         return from_corpus
 
 
+def looked_up(text: str) -> set[str]:
+    """Every token that splitting the text may look up in the lexicon: words before a period, and all words that may follow a terminator."""
+    out = set(_NEXT.findall(text)) | {c for c in set(text) if c.islower()}
+    at = text.find(".")
+    while at >= 0:
+        out.add(token_before(text, at, 0))
+        # As seen() does, which looks no further than this for the next word.
+        if m := _NEXT.match(text[at + 1 : at + 40].lstrip()):
+            out.add(m[0])
+        at = text.find(".", at + 1)
+    return out
+
+
 def _period(doc: _Text, i: int, j: int, s: int, e: int) -> bool:
     """Whether the single period at i, with white space from j, ends a sentence."""
     text = doc.text
@@ -450,7 +463,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broa
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = sorted({w for _, w in count_tokens(t or "")})
+                found = sorted(looked_up(t or ""))
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.int64()), pa.array(found, pa.string())], ["row", "token"])
 
     own = numbered.select("row", "text").mapInArrow(tokens, "row long, token string").join(lex, "token").groupBy("row").agg(F.collect_list(F.struct("token", "kind")).alias("lex"))

@@ -1,6 +1,6 @@
 import pytest
 
-from signalloom.llm.sentences import lexicon, sentences, split_text
+from signalloom.llm.sentences import lexicon, looked_up, sentences, split_text
 
 
 def cut(text, lex=None):
@@ -66,3 +66,29 @@ def test_all_covered_and_both_paths_agree(spark):
         assert "".join("".join(spans).split()) == "".join((t or "").split())
     assert sentences(df.limit(0)).count() == 0
     assert ("tokio-style", "L") in set(map(tuple, lexicon(df).collect()))
+
+
+@pytest.mark.parametrize("text", ["It is named in Bundesabt. (2020) of it. More.", "The gate. tokio-style runs. Done.", "Siehe Untersuch. “Neu” dort. Ende.", "(All of it.) tokio-style goes on. " + "x" * 45 + ". End", "第1章はAbt. (2020) です。tokio-style 終。"])
+def test_own_part_of_the_lexicon_is_enough(text):
+    """Every token that is asked for is among those joined with the lexicon."""
+
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked.add(key)
+            return super().get(key, default)
+
+        def __contains__(self, key):
+            asked.add(key)
+            return super().__contains__(key)
+
+    for kinds in ({}, {"Bundesabt": "A", "Untersuch": "A", "Abt": "A", "tokio-style": "L"}):
+        asked: set[str] = set()
+        split_text(text, Asked(kinds))
+        assert asked <= looked_up(text)
+
+
+def test_join_path_splits_like_the_broadcast(spark):
+    texts = ["It stands in Bundesabt. 5 of it."] * 8 + ["It is named in Bundesabt. (2020) here. More."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ("Bundesabt", "A") in set(map(tuple, lexicon(df).collect()))
+    assert sorted(map(tuple, sentences(df).collect())) == sorted(map(tuple, sentences(df, max_broadcast=0).collect()))
