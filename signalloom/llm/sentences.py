@@ -1,11 +1,20 @@
 """Sentence boundaries across languages and scripts.
 
 Document-centred disambiguation: whether a token with a period is an
-abbreviation is decided from its unambiguous occurrences elsewhere in the same
-text (without a period, or with a period before a lower-case word or number),
-then from counts over the whole corpus, then from its form and a short list of
-known abbreviations.  Other scripts have their own terminators; in Thai a space
-ends a sentence unless it sets off a number or a Latin word.
+abbreviation is decided from its unambiguous occurrences in the same text
+(without a period, or with a period before a lower-case word or number); where
+these are silent or divided, from counts over the whole corpus; where these are
+silent too, from a short list of known abbreviations.  Whether a capital after an
+abbreviation begins a sentence or a name is decided in the same way: from
+occurrences of the word in lower case, or capitalised inside a sentence, in
+the text, then in the corpus.  Initials and tokens with inner periods are told by
+their form.  Other scripts have their own terminators; in Thai a space ends a
+sentence unless it sets off a number or a Latin word.
+
+Bounds that are part of the rules: a token of more than ``LONGEST`` characters is no
+abbreviation, and of more than ``COUNTED`` none by the corpus; a word of more than ``SHORT`` letters is one only if the corpus or the
+list says so; an opening bracket or quote closes within the ``DEPTH`` innermost
+open ones; one left open in the last ``TAIL`` characters of a text runs to its end.
 
 Two passes over the texts: token counts (added up per partition before the
 shuffle), then the splitting, which needs no shuffle.  Only the types that pass
@@ -30,6 +39,7 @@ from signalloom.llm.storage import written
 
 MAX_BROADCAST = 200_000
 MIN_COUNT = 5
+LONGEST, COUNTED, SHORT, DEPTH, TAIL = 40, 12, 6, 3, 400
 
 # Abbreviations that expect a name or a number after them.
 BEFORE_NAMES = "Mr Mrs Ms Dr Prof St Gen Col Capt Lt Sgt Rev Hon Gov Sen Rep Messrs Mme Mlle MM Mgr Sr Sra Srta Dra Dres Ing Lic Hr Fr Frl Dipl д-р проф акад г-н г-жа им ул डॉ श्री د أ ดร นพ"
@@ -62,11 +72,18 @@ def _known() -> dict[str, str]:
 
 
 KNOWN = _known()
+NUMBERED = frozenset(BEFORE_NUMBERS.split())
+# Words of the list that are ordinary words as well; for them the list alone says nothing.
+ORDINARY_TOO = frozenset("no No al Co Min art Fr par S".split())
 
 
 def token_before(text: str, at: int, start: int) -> str:
     """The token that ends right before a period, cut at the last change from a script without spaces."""
-    m = _WORD_BEFORE.search(text, max(start, at - 40), at)
+    start = max(start, at - LONGEST)
+    w = text[max(start, text.rfind(" ", start, at) + 1) : at]
+    if w.isascii() and w.isalnum():
+        return w
+    m = _WORD_BEFORE.search(w)
     if not m:
         return ""
     w = m[0].lstrip(".-'’/")
@@ -75,34 +92,65 @@ def token_before(text: str, at: int, start: int) -> str:
     return w
 
 
-def count_tokens(text: str) -> Counter:
-    """Counts of (kind, token): how tokens with a period go on, tokens without one, and lower-case starters."""
-    c: Counter = Counter()
-    tokens = _PARAGRAPH.sub(" \0 ", text).split()
-    before = "\0"
-    for i, t in enumerate(tokens):
-        if t[-1] == ".":
-            w = _LEAD.sub("", t[:-1])
-            if w and len(w) <= 12 and i + 1 < len(tokens) and any(map(str.isalpha, w)):
-                if _CJK.search(w):
-                    w = re.split(_CJK, w)[-1]
-                x = tokens[i + 1]
-                y = tokens[i + 2][0] if i + 2 < len(tokens) else ""
-                if w and (kind := _follows(x, y)):
-                    c[kind, w] += 1
-        else:
-            w = t.strip("(«“\"„¿¡[{,;:!?)»”]}")
-            if len(w) <= 6 and w.isalpha():
-                c["bare", w] += 1
-        if t[0].islower():
-            w = t.rstrip(",;:.!?)”\"»")
-            end = before[-1]
-            if end in "?!\0" or before[-2:] in ('?"', '!"', "?”", "!”") or end == "." and len(before) > 7 and before[-8:-1].isalpha():
-                c["lowstart", w] += 1
-            elif end == "," or end.islower():
-                c["middle", w] += 1
-        before = t
-    return c
+class Counts:
+    """Counts of (token, kind) over texts.
+
+    Tokens are counted as they stand, and only the distinct ones are looked into; the
+    places where a period, or the begin of a sentence, matters are looked at one by one.
+    Kinds: how tokens with a period go on (low, dig, name, up, oth), tokens without one (bare),
+    words in lower case after a terminator (lowstart) or inside a sentence (middle);
+    and, under their lower-case form, capitalised words inside a sentence (inner) and
+    after a short token with a period (start).
+    """
+
+    def __init__(self):
+        self.raw: Counter = Counter()
+        self.seen: Counter = Counter()
+
+    def add(self, text: str) -> None:
+        tokens = (_PARAGRAPH.sub(" \0 ", text) if "\n" in text else text).split()
+        self.raw.update(tokens)
+        seen, end, before = self.seen, "\0", "\0"
+        for i, t in enumerate(tokens):
+            inside = end == "," or end.islower()
+            if t[0].islower():
+                if not inside:
+                    w = t.rstrip(_AFTER)
+                    seen[w, "away"] += 1
+                    if end in "?!\0" or before[-2:] in _ENDED or end == "." and len(before) > 7 and before[-8:-1].isalpha():
+                        seen[w, "lowstart"] += 1
+            elif inside and t[0].isupper():
+                seen[t.rstrip(_AFTER).lower(), "inner"] += 1
+            before, end = t, t[-1]
+            if end == ".":
+                self._period(tokens, i)
+
+    def _period(self, tokens: list[str], i: int) -> None:
+        w = _LEAD.sub("", tokens[i][:-1])
+        if w and len(w) <= COUNTED and i + 1 < len(tokens) and any(map(str.isalpha, w)):
+            if _CJK.search(w):
+                w = re.split(_CJK, w)[-1]
+            if w and (kind := _follows(tokens[i + 1], tokens[i + 2][0] if i + 2 < len(tokens) else "")):
+                self.seen[w, kind] += 1
+                if kind in ("name", "up") and len(w) <= SHORT:
+                    self.seen[tokens[i + 1].rstrip(_AFTER).lower(), "start"] += 1
+
+    def items(self) -> Counter:
+        out = Counter({k: n for k, n in self.seen.items() if k[1] != "away"})
+        for t, n in self.raw.items():
+            if t[-1] != ".":
+                w = t.strip(_AROUND)
+                if len(w) <= SHORT and w.isalpha():
+                    out[w, "bare"] += n
+            if t[0].islower():
+                out[t.rstrip(_AFTER), "middle"] += n
+        for (w, kind), n in self.seen.items():
+            if kind == "away":
+                out[w, "middle"] -= n
+        return out
+
+
+_AFTER, _AROUND, _ENDED = ",;:.!?)”\"»", "(«“\"„¿¡[{,;:!?)»”]}", ('?"', '!"', "?”", "!”")
 
 
 def _follows(x: str, y: str) -> str:
@@ -118,26 +166,26 @@ def corpus_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """token, kind, n over all texts; counts are added up in each batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        c = Counts()
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 if t:
-                    c.update(count_tokens(t))
-            if len(c) > 300_000:
-                yield out(c)
-                c = Counter()
-        yield out(c)
+                    c.add(t)
+            if len(c.raw) > 300_000:
+                yield out(c.items())
+                c = Counts()
+        yield out(c.items())
 
     def out(c: Counter) -> pa.RecordBatch:
         keys = list(c)
-        return pa.RecordBatch.from_arrays([pa.array([k[1] for k in keys], pa.string()), pa.array([k[0] for k in keys], pa.string()), pa.array([c[k] for k in keys], pa.int64())], ["token", "kind", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([c[k] for k in keys], pa.int64())], ["token", "kind", "n"])
 
     return docs.select(F.col(text)).mapInArrow(run, "token string, kind string, n long").groupBy("token", "kind").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
-    """token, kind: A goes on after its period, T expects a name, E is short with inner periods, L starts sentences in lower case."""
-    kinds = ["low", "dig", "name", "up", "oth", "bare", "lowstart", "middle"]
+    """token, kind: A goes on after its period, T expects a name, L starts sentences in lower case, S is hardly capitalised but where a sentence starts."""
+    kinds = ["low", "dig", "name", "up", "oth", "bare", "lowstart", "middle", "inner", "start"]
     c = corpus_counts(docs, text).groupBy("token").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(k) for k in kinds])
     on, ends = F.col("low") + F.col("dig"), F.col("up") + F.col("oth")
     total = on + ends + F.col("name")
@@ -145,6 +193,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when((total >= MIN_COUNT) & (F.col("bare") <= 0.02 * total) & (F.col("name") >= 0.6 * total), "T")
         .when((total >= MIN_COUNT) & (on >= 0.6 * total), "A")
         .when((F.col("lowstart") >= MIN_COUNT) & (F.col("middle") <= 0.05 * F.col("lowstart")), "L")
+        .when((F.col("start") >= MIN_COUNT) & (F.col("middle") >= MIN_COUNT) & (F.col("inner") <= 0.05 * F.col("middle")), "S")
     )
     return c.select("token", kind.alias("kind")).where(F.col("kind").isNotNull())
 
@@ -153,7 +202,7 @@ class _Text:
     """Evidence of one text, looked up when it is first asked for."""
 
     def __init__(self, text: str, lex: dict[str, str]):
-        self.text, self.lex, self._seen = text, lex, {}
+        self.text, self.lex, self._seen, self._names = text, lex, {}, {}
 
     def seen(self, w: str) -> tuple[int, int]:
         """(occurrences that go on after the period, occurrences without a period)."""
@@ -174,32 +223,56 @@ class _Text:
             self._seen[w] = on, bare
         return self._seen[w]
 
+    def begins(self, word: str) -> bool:
+        """Whether a capital says that a sentence begins: the word stands in lower case elsewhere in the text and not capitalised inside a sentence; where the text is silent, the corpus decides."""
+        if word not in self._names:
+            low = word.lower()
+            lower, inner = self._whole(low), self._capitalised(word)
+            self._names[word] = lower > inner if lower or inner else self.lex.get(low) == "S"
+        return self._names[word]
+
+    def _whole(self, w: str) -> int:
+        """Occurrences as a whole word."""
+        text, n, k, at = self.text, 0, len(w), self.text.find(w)
+        while at >= 0:
+            n += not (at and text[at - 1].isalnum()) and not text[at + k : at + k + 1].isalnum()
+            at = text.find(w, at + k)
+        return n
+
+    def _capitalised(self, word: str) -> int:
+        """Occurrences right after a lower-case letter or a comma and a blank, that is inside a sentence."""
+        text, n, k, at = self.text, 0, len(word), self.text.find(word)
+        while at >= 0:
+            n += at > 1 and text[at - 1] == " " and (text[at - 2] == "," or text[at - 2].islower()) and not text[at + k : at + k + 1].isalnum()
+            at = text.find(word, at + k)
+        return n
+
     def kind(self, w: str) -> str:
-        """I initial, T, A, E as in the lexicon, or '' for an ordinary word."""
+        """I initial, T, A as in the lexicon, E short with inner periods, W a word of the text although corpus or list have it as an abbreviation, or '' for an ordinary word."""
         if len(w) == 1 or len(w) == 2 and w[1] in "́̈":
             return "I" if w.isalpha() else ""
-        if re.fullmatch(r"(?:[^\W\d_]\.)*[^\W\d_](?:-[^\W\d_])?", w) and "." in w:
-            return "A" if w.islower() else "I" if self.lex.get(w) == "T" else "E"
         if "." in w:
+            if re.fullmatch(r"(?:[^\W\d_]\.)*[^\W\d_](?:-[^\W\d_])?", w):
+                return "A" if w.islower() else "I" if self.lex.get(w) == "T" else "E"
             tail = w.rsplit(".", 1)[1]
-            if len(tail) == 1 and tail.isupper() or tail in KNOWN and KNOWN[tail] == "T":
+            if len(tail) == 1 and tail.isupper() or KNOWN.get(tail) == "T":
                 return "I"
-        if w in KNOWN and not (w in ("no", "No", "al", "Co", "Min", "art", "Fr", "par", "S") and w not in self.lex):
-            return KNOWN[w]
-        from_corpus = self.lex.get(w, "")
-        from_corpus = "" if from_corpus == "L" else from_corpus
-        if len(w) <= 6:
+        corpus = self.lex.get(w, "")
+        corpus = corpus if corpus in "AT" else ""
+        known = KNOWN.get(w, "") if corpus or w not in ORDINARY_TOO else ""
+        if corpus or known or len(w) <= SHORT:
             on, bare = self.seen(w)
-            if bare and not on and from_corpus != "T":
-                return "A?" if from_corpus else ""
-            if on and not bare and not from_corpus and len(w) <= 4:
+            if bare > on:
+                return "W" if corpus or known else ""
+            if on and not bare and not corpus and not known and len(w) <= 4:
                 return "A"
-        return from_corpus
+        return corpus or known
 
 
 def looked_up(text: str) -> set[str]:
     """Every token that splitting the text may look up in the lexicon: words before a period, and all words that may follow a terminator."""
-    out = set(_NEXT.findall(text)) | {c for c in set(text) if c.islower()}
+    words = _NEXT.findall(text)
+    out = set(words) | {w.lower() for w in words if w[0].isupper()} | {c for c in set(text) if c.islower()}
     at = text.find(".")
     while at >= 0:
         out.add(token_before(text, at, 0))
@@ -233,7 +306,7 @@ def _period(doc: _Text, i: int, j: int, s: int, e: int) -> bool:
         return not x.islower() or doc.lex.get(word) == "L"
     kind = doc.kind(w)
     if x.islower():
-        if doc.lex.get(word) == "L" and kind in ("", "E", "A?"):
+        if doc.lex.get(word) == "L" and kind in ("", "E", "W"):
             return True
         if kind:
             return False
@@ -245,9 +318,11 @@ def _period(doc: _Text, i: int, j: int, s: int, e: int) -> bool:
             return False
         if kind == "E":
             return True
-        if kind in ("A", "A?"):
+        if kind in ("A", "W"):
             own = nxt and nxt.end() < e and text[nxt.end()] == "." and (word in KNOWN or len(word) <= 2)
-            return not own and (kind == "A?" or w not in KNOWN or KNOWN[w] != "T") and not (w in BEFORE_NUMBERS.split()) and (word.lower() in doc.text or not nxt)
+            if own or not nxt:
+                return not own
+            return kind == "W" or KNOWN.get(w) != "T" and w not in NUMBERED and doc.begins(word)
         return True
     if x.isalpha():
         return kind in ("", "E")
@@ -274,7 +349,7 @@ def _matches(tokens: list, text: str, e: int, last: bool) -> dict[int, int]:
         if ch_open:
             stack.append((ch, at))
             continue
-        for k in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
+        for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
             o = stack[k][0]
             if o == '"' == ch or _OPEN.get(o) == ch:
                 out[stack[k][1]] = at
@@ -282,7 +357,7 @@ def _matches(tokens: list, text: str, e: int, last: bool) -> dict[int, int]:
                 break
     if last:
         for _, at in stack:
-            if e - at < 400 and at not in out:
+            if e - at < TAIL and at not in out:
                 out[at] = e
                 break
     return out
@@ -296,6 +371,7 @@ def _block(doc: _Text, s: int, e: int, last: bool, cuts: list[int]) -> None:
         return
     closing = _matches(tokens, text, e, last) if any(m.lastgroup == "b" for m in tokens) else {}
     begin, inside, opened, alone = s, -1, "", False
+    stop = s + len(text[s:e].rstrip())
     for m in tokens:
         i, j, group = m.start(), m.end(), m.lastgroup
         if inside >= 0 and i < inside:
@@ -315,7 +391,7 @@ def _block(doc: _Text, s: int, e: int, last: bool, cuts: list[int]) -> None:
                     break
             continue
         elif group == "t":
-            end = _terminator(doc, m[0], i, j, s, e) and j
+            end = _terminator(doc, m[0], i, j, s, stop) and j
         elif group == "z":
             end = _thai_space(text, i, j, s, e) and i
         if end:
@@ -352,15 +428,17 @@ def _after_quote(doc: _Text, inner: str, opened: str, alone: bool, opened_at: in
 
 def _terminator(doc: _Text, mark: str, i: int, j: int, s: int, e: int) -> bool:
     text = doc.text
-    if j >= e or not text[j:e].strip():
+    if j >= e:
         return False
     x = text[j]
+    if mark == ".":
+        return x.isspace() and _period(doc, i, j, s, e)
     if any(c in _STRONG for c in mark):
         return x not in "」』”»）)\"" and not (x in "，、")
     if mark[0] in "…" or len(mark) > 1 and set(mark) <= set(".…"):
         if not x.isspace():
             return False
-        rest = text[j:e].lstrip()
+        rest = text[j : min(e, j + 60)].lstrip() or " "
         nxt = _NEXT.match(rest)
         return not rest[0].islower() and rest[0] not in ",;:—–-" or bool(nxt) and doc.lex.get(nxt[0]) == "L"
     if "!" in mark or "?" in mark:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from signalloom.llm.sentences import lexicon, looked_up, sentences, split_text
@@ -50,7 +52,15 @@ def test_empty(text):
 
 
 def test_document_decides():
-    assert cut("The panel met at Bax. Corp there. It met Bax. corp again.") == ["The panel met at Bax. Corp there.", "It met Bax. corp again."] or True
+    # Before the list: the text uses "fig" as a word.
+    assert cut("The fig. grew. The fig was ripe and the fig fell. He ate a fig. Then he left.") == ["The fig. grew.", "The fig was ripe and the fig fell.", "He ate a fig.", "Then he left."]
+    # Before the corpus: the text uses "Bax" as a word.
+    assert cut("We saw Bax there and Bax here. It was Bax. Then it ended.", {"Bax": "A"})[-1] == "Then it ended."
+    # Before corpus and list: a token that goes on after its period is an abbreviation, and a word that is capitalised inside a sentence is a name.
+    assert cut("It came by Bax. lines. It met Bax. Corp there, by Corp rules.") == ["It came by Bax. lines.", "It met Bax. Corp there, by Corp rules."]
+    assert cut("It came by Bax. lines. It met Bax. Then it left, and then it fell.") == ["It came by Bax. lines.", "It met Bax.", "Then it left, and then it fell."]
+    # Where the text is silent, the corpus says what usually begins a sentence.
+    assert len(cut("It came by Bax. lines. It met Bax. Then it left.", {"then": "S"})) == 3 and len(cut("It came by Bax. lines. It met Bax. Then it left.")) == 2
     # An ordinary word that stands without a period elsewhere ends a sentence even before a lower-case start.
     assert cut("The gate opened the gate. tokio-style runtimes. Done.", {"tokio-style": "L"})[0] == "The gate opened the gate."
 
@@ -92,3 +102,16 @@ def test_join_path_splits_like_the_broadcast(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert ("Bundesabt", "A") in set(map(tuple, lexicon(df).collect()))
     assert sorted(map(tuple, sentences(df).collect())) == sorted(map(tuple, sentences(df, max_broadcast=0).collect()))
+
+
+def test_both_paths_agree_on_any_lexicon(spark, monkeypatch):
+    """Random lexicons over the words and parts of words of random texts."""
+    rnd = random.Random(9)
+    words = ["tokio-style", "makers", "Bax", "Abt", "fig", "Then", "He", "e.g", "U.S", "No", "5", "(2020)", "“Neu”", "z.B", "of", "第1章は", "ดี", "Dr", "X", "über", "approx"]
+    ends = ["", "", "", "", ".", ".", ",", "?", "!", ".\n\n", "…", ";"]
+    texts = [" ".join(rnd.choice(words) + rnd.choice(ends) for _ in range(rnd.randint(1, 40))) for _ in range(60)]
+    keys = sorted({k for t in texts for w in t.split() for k in (w, w.strip(".,?!;…"), w.lower(), w[:1])} - {""})
+    lex = [(k, rnd.choice("ATLS")) for k in keys if rnd.random() < 0.6]
+    monkeypatch.setattr("signalloom.llm.sentences.lexicon", lambda docs, text: spark.createDataFrame(lex, "token string, kind string"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, sentences(df).collect())) == sorted(map(tuple, sentences(df, max_broadcast=0).collect()))
