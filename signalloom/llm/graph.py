@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.storage import written
+from signalloom.llm.storage import counted, written
 
 #: A key is hot beyond this share of the rows, so at most 1 / HOT_SHARE keys can be hot.
 HOT_SHARE = 1 / 500
@@ -38,14 +38,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(edges.select(F.col(b).alias("u"), F.col(a).alias("v"))).where("u <> v").distinct()
     both = written(both, "edges")
-    labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).select(F.col("u").alias("node"), "root"), "labels")
-    while True:
+    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).select(F.col("u").alias("node"), "root")
+    labels = written(labels, "labels")
+    changed = 1
+    while changed:
         near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("root").alias("near"))
         moved = labels.join(near, labels.node == near.u, "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("new"))
         up = labels.select(F.col("node").alias("n2"), F.col("root").alias("jump"))
         after = moved.join(up, moved.new == up.n2, "left").select("node", "root", F.least("new", F.coalesce("jump", "new")).alias("new"))
-        after = written(after, "labels")
-        changed = after.where("new <> root").limit(1).count()
+        after, changed = counted(after, "labels", F.col("new") != F.col("root"))
         labels = after.select("node", F.col("new").alias("root"))
-        if not changed:
-            return labels
+    return labels
