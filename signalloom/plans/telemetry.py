@@ -77,10 +77,13 @@ def circuit_breaker_state(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("user_id", "consecutive_failures", broken(F.col("consecutive_failures"), F.lit(None).cast("timestamp"), F.lit("2024-02-01").cast("timestamp")).alias("broken"), backoff_seconds(F.col("consecutive_failures")).alias("backoff_s"))
 
 
+def marks_of(spark: SparkSession, folder: str) -> DataFrame:
+    """user_id, mark as a run in the middle of January left them."""
+    return table(spark, folder, "events").where("ts < timestamp_ntz'2024-01-15'").groupBy("user_id").agg(F.max("ts").alias("mark"))
+
+
 def _items(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
-    marks = e.where("ts < timestamp_ntz'2024-01-15'").groupBy("user_id").agg(F.max("ts").alias("mark"))
-    return e, marks
+    return table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type"), marks_of(spark, folder)
 
 
 def watermark_incremental(spark: SparkSession, folder: str) -> DataFrame:
