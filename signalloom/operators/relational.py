@@ -44,8 +44,11 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str, seen_key: str) -> DataFra
 
 
 def newest_of_each_text(rows: DataFrame, content: str, seq: str) -> DataFrame:
-    """One row per normalised text, the one with the highest ``seq``; null texts are one text."""
-    keyed = rows.withColumn("_norm", F.xxhash64(normal_text(F.coalesce(F.col(content), F.lit("")))))
+    """One row per normalised text, the one with the highest ``seq``; null texts are one text.
+
+    Texts stand for themselves by 256 bits of hash, of which no two texts are known to share all.
+    """
+    keyed = rows.withColumn("_norm", F.sha2(normal_text(F.coalesce(F.col(content), F.lit(""))), 256))
     return keyed.groupBy("_norm").agg(F.max_by(F.struct(*rows.columns), F.col(seq)).alias("r")).select("r.*")
 
 
