@@ -30,6 +30,22 @@ def join_skewed(big: DataFrame, by_key: DataFrame, on: list[str], count: str, ho
     return cold.unionByName(big.join(F.broadcast(hot.drop(count)), on, "inner"))
 
 
+#: A class is paired in parts of so many members.
+PAIR_ROWS = 512
+
+
+def paired(rows: DataFrame, on: str, count: str, of: str) -> DataFrame:
+    """``of``_a, ``of``_b and the other columns of both, for all pairs of members of a class; ``count`` = members of the class.
+
+    A class of more than PAIR_ROWS members is spread over as many tasks as it has such parts.
+    """
+    parts = F.ceil(F.col(count) / PAIR_ROWS).cast("int")
+    rest = [c for c in rows.columns if c not in (on, count)]
+    a = rows.select(on, F.pmod(F.xxhash64(of), parts).cast("int").alias("_part"), *[F.col(c).alias(f"{c}_a") for c in rest])
+    b = rows.select(on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"), *[F.col(c).alias(f"{c}_b") for c in rest])
+    return a.join(b, [on, "_part"]).drop(on, "_part")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root (the smallest node of its component) for every node of the edges.
 

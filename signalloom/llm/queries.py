@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signalloom.llm.history import features, repeats
 from signalloom.llm.mixing import mixed, shares
-from signalloom.llm.names import title_keys, variants
+from signalloom.llm.names import classes, title_keys, variants
 from signalloom.llm.packing import fill, packed
 from signalloom.llm.sentences import sentences
 from signalloom.llm.storage import written
@@ -53,7 +53,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of author spellings that name the same person or organisation."""
     parts = [table(spark, folder, t).select("authors", "title") for t in ("s2_papers", "oa_works", "arxiv_papers")]
     mentions = title_keys(reduce(DataFrame.unionByName, parts), "authors").select(F.explode("authors").alias("name"), F.xxhash64("t").alias("t"))
-    return variants(mentions, table(spark, folder, "given_forms"))
+    return variants(classes(mentions, table(spark, folder, "given_forms")))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
