@@ -56,17 +56,22 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return variants(classes(mentions, table(spark, folder, "given_forms")))
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of records of different tables that describe the same work."""
+def p2_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of records of different tables that describe the same work, each with a confidence."""
     rows = unified(*[table(spark, folder, t) for t in ("s2_papers", "oa_works", "arxiv_papers")])
     return cross_matches(works(written(prepare(rows), "records")))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs without the confidence."""
+    return p2_matches(spark, folder).select("rec_a", "rec_b")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every row of a later batch that repeats a row of an earlier one, with the first row of its group."""
     parts = [("entries", "ingest_seq", "content"), ("sources", "ingest_seq", "url"), ("oa_works", "rec_id", "openalex_id")]
     return repeats(reduce(DataFrame.unionByName, [features(table(spark, folder, t), t, key, field) for t, key, field in parts]))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_matches": p2_matches, "p3_found": p3_found, "p6_found": p6_found, "p7_pack": p7_pack, "p7_fill": p7_fill, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 SQL: dict[str, str] = {}
