@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +26,41 @@ def keyword_score(content: Column, summary: Column, keywords: Sequence[str], neg
 
 def keyword_score_of(c: Column, s: Column, keywords: Sequence[str], negatives: Sequence[str] = ()) -> Column:
     """The same over token texts, so that the tokens are made once."""
-    if not keywords:
+    counts = [(count_phrase(c, k), count_phrase(s, k)) for k in keywords]
+    return score_of_counts(counts, contains_any(c, negatives) | contains_any(s, negatives))
+
+
+def with_keyword_score(df: DataFrame, content: str, summary: str, keywords: Sequence[str], negatives: Sequence[str] = (), name: str = "score") -> DataFrame:
+    """Adds the score; tokens are made once and every phrase is counted once, also where rows are filtered by the score.
+
+    A projection would be copied into every filter on it, so texts and counts
+    are made by one-row generators, which filters can't pass.
+    """
+    t = df.select("*", F.inline(F.array(F.struct(token_text(F.col(content)).alias("_c"), token_text(F.col(summary)).alias("_s")))))
+    phrases = [*keywords, *negatives]
+    if phrases:
+        counts = [count_phrase(F.col(f), p).alias(f"_{f}{i}") for i, p in enumerate(phrases) for f in ("_c", "_s")]
+        t = t.select(*df.columns, F.inline(F.array(F.struct(*counts))))
+    pair = lambda i: (F.col(f"__c{i}"), F.col(f"__s{i}"))
+    bad = F.lit(False)
+    for i in range(len(keywords), len(phrases)):
+        bad = bad | (pair(i)[0] > 0) | (pair(i)[1] > 0)
+    return t.select(*df.columns, score_of_counts([pair(i) for i in range(len(keywords))], bad).alias(name))
+
+
+def score_of_counts(counts: Sequence[tuple[Column, Column]], bad: Column) -> Column:
+    """Score of (times in content, times in summary) of every keyword; 0 where ``bad``."""
+    if not counts:
         return F.lit(0.0)
-    share = 1.0 / len(keywords)
+    share = 1.0 / len(counts)
     total = F.lit(0.0)
-    for k in keywords:
-        in_c, in_s = count_phrase(c, k), count_phrase(s, k)
+    for in_c, in_s in counts:
         bonus = F.greatest(F.least(in_c, F.lit(3)) - 1, F.lit(0)) * 0.1
         both = F.when((in_c > 0) & (in_s > 0), 0.15).otherwise(0.0)
         part = F.least(share * (1 + bonus + both), F.lit(share * 1.4))
         total = total + F.when((in_c > 0) | (in_s > 0), part).otherwise(0.0)
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
-    return F.when(contains_any(c, negatives) | contains_any(s, negatives), 0.0).otherwise(score)
+    return F.when(bad, 0.0).otherwise(score)
 
 
 def urgency_of(score: Column) -> Column:
@@ -75,16 +100,21 @@ def usefulness(accepted: Column, rejected: Column) -> Column:
 
 
 def local_embeddings(df: DataFrame, key: str, text: str, dim: int = 1024) -> DataFrame:
-    """key, embedding: L2-normalised hashed word counts; all zeros for a text without words.
-
-    ``key`` is unique; the counts are added up per text and place before they form a vector.
-    """
-    words = F.explode(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"))
-    each = df.select(key, words.alias("w")).where("w <> ''").groupBy(key, F.pmod(F.xxhash64("w"), F.lit(dim)).cast("int").alias("at")).agg(F.count("*").cast("double").alias("n"))
-    maps = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    joined = df.select(key).join(maps, key, "left")
-    place = lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)).cast("float")
-    return joined.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), place).alias("embedding"))
+    """key, embedding: L2-normalised hashed word counts; all zeros for a text without words.  No shuffle: a text is one row."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = np.zeros((len(b), dim))
+            for i, places in enumerate(b["at"]):
+                np.add.at(m[i], np.asarray(places, np.int64), 1.0)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0).astype("float32")
+            yield pd.DataFrame({key: b[key], "embedding": list(unit)})
+
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    places = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+    return df.select(key, places.alias("at")).mapInPandas(run, f"{key} {kind}, embedding array<float>")
 
 
 def adjusted(base: Column, delta: Column, refuted: Column) -> Column:

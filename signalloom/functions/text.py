@@ -38,17 +38,24 @@ def normal_text(text: Column) -> Column:
 def truncated(text: Column, limit: int, ellipsis: bool = False) -> Column:
     """At most ``limit`` UTF-8 bytes, cut at the last blank inside the window and never inside a character."""
     room = limit - 3 if ellipsis else limit
-    # The longest prefix that fits is found among prefixes of room/4 to room characters.
-    fits = F.filter(F.sequence(F.lit(0), F.lit(room)), lambda k: F.octet_length(F.substring(text, 1, k)) <= room)
-    prefix = F.substring(text, 1, F.array_max(fits))
+    # A prefix of room / 4 characters always fits; the longest is found by halving the rest.
+    head = F.substring(text, 1, room)
+    step = 1 << max(0, (room - room // 4)).bit_length()
+    fits = F.lit(room // 4)
+    steps = []
+    while step:
+        steps.append(step)
+        step //= 2
+    fits = F.aggregate(F.array(*[F.lit(x) for x in steps]), fits, lambda k, x: F.when(F.octet_length(F.substring(head, F.lit(1), k + x)) <= room, F.least(k + x, F.lit(room))).otherwise(k))
+    prefix = F.substring(head, F.lit(1), fits)
     at_blank = F.regexp_extract(prefix, r"(?s)^(.*)\s", 1)
     cut = F.when(at_blank != "", at_blank).otherwise(prefix)
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(cut, F.lit("..." if ellipsis else "")))
 
 
-def plain_doi(doi: Column) -> Column:
-    """A DOI without one http(s) resolver prefix."""
-    return F.regexp_replace(doi, r"^https?://(?:dx\.)?doi\.(?:org|example)/", "")
+def plain_doi(doi: Column, resolver: str = r"doi\.org") -> Column:
+    """A DOI without one http(s) resolver prefix; ``resolver`` is a pattern of the host."""
+    return F.regexp_replace(doi, r"^https?://(?:dx\.)?" + resolver + "/", "")
 
 
 def arxiv_from_doi(doi: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from signalloom.functions.text import normal_text
+from signalloom.sources.storage import written
 
 
 def latest(log: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -62,7 +65,29 @@ def ranked(rows: DataFrame, order: Sequence[Column], limit: int, name: str = "ra
     return top.withColumn(name, F.row_number().over(W.orderBy(*order)) + (start - 1))
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """Place of every row in a total order, from 0, inside ``by`` or over all rows.
+
+    The rows are sorted by ranges, so neither one large ``by`` nor the whole table is
+    one task; the rows of a range are counted, and the counts before it are added.
+    """
+    ranged = rows.repartitionByRange(*[F.col(c) for c in by], *order).sortWithinPartitions(*[F.col(c) for c in by], *order)
+    place = ranged.withColumn("_id", F.monotonically_increasing_id())
+    placed = written(place.withColumn("_part", F.shiftright("_id", 33)), "numbered")
+    # A row for each range and ``by``.
+    counts = placed.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_id").alias("_from"))
+    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = ["_part", *by]
+    joined = placed.join(counts.select(*[F.col(c).alias(f"{c}_2") for c in same], "_from", "_before"), reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in same]))
+    return joined.withColumn(name, F.col("_id") - F.col("_from") + F.col("_before")).select(*rows.columns, name)
+
+
 def in_chunks(rows: DataFrame, by: str, order: Sequence[Column], size: int) -> DataFrame:
     """Rows of each ``by`` numbered in chunks of ``size`` from 0."""
-    n = F.row_number().over(W.partitionBy(by).orderBy(*order))
-    return rows.withColumn("chunk", F.floor((n - 1) / size).cast("int"))
+    return numbered(rows, order, "_at", [by]).withColumn("chunk", F.floor(F.col("_at") / size).cast("int")).drop("_at")
+
+
+def best_of_each(rows: DataFrame, by: str, order: Sequence[Column], most: int, name: str = "rank") -> DataFrame:
+    """The first ``most`` rows of each ``by`` with their rank from 1; those that can't be among them are dropped before the shuffle."""
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col(name) <= most)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalloom.sources.storage import written
+
 BLOCK = 4096
 
 
@@ -33,24 +35,41 @@ def _blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), vector).mapInPandas(run, "block long, keys array<long>, data binary, dim int")
 
 
+#: Blocks of one side that meet in one task.
+SIDE = 32
+
+
 def novelty(queries: DataFrame, priors: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, max_similarity, novelty = clamp(1 - max similarity); 1 for a query without any prior of its length.
+    """key, max_similarity, novelty = clamp(1 - max similarity); 1 for a query without any prior of its length.  A row with the query's own key is no prior.
 
-    Both sides are cut into matrices; every pair of blocks meets once through an
-    equi-join on the prior block's number, and one matrix product gives its maxima.
+    Both sides are cut into matrices, and these are dealt to the cells of a grid: a
+    query matrix goes to every cell of its row, a prior one to every cell of its column,
+    so a matrix is copied once per SIDE matrices of the other side, and a cell holds
+    SIDE of each; matrix products give the maxima.
     """
-    p = _blocks(priors, key, vector).select(F.col("block").alias("pb"), F.col("data").alias("pdata"), F.col("dim").alias("pdim"))
-    q = _blocks(queries, key, vector)
-    # One row per length lists the numbers of its blocks: N / BLOCK longs.
-    numbers = p.groupBy("pdim").agg(F.collect_list("pb").alias("pbs"))
-    each = q.join(numbers, q.dim == numbers.pdim).select("keys", "data", "dim", F.explode("pbs").alias("pb"))
+    p, q = written(_blocks(priors, key, vector), "priors"), written(_blocks(queries, key, vector), "queries")
+    rows, columns = (max(1, -(-df.count() // SIDE)) for df in (q, p))
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(place(rows).alias("r"), every(columns).alias("c"), "keys", "data", "dim")
+    right = p.select(every(rows).alias("r"), place(columns).alias("c"), "keys", "data", "dim")
 
-    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for keys, a, d, c in zip(b["keys"], b["data"], b["dim"], b["pdata"]):
-                x, y = np.frombuffer(a).reshape(-1, d), np.frombuffer(c).reshape(-1, d)
-                yield pd.DataFrame({key: keys, "s": (x @ y.T).max(axis=1)})
+    def products(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({key: pd.Series([], dtype="int64"), "s": pd.Series([], dtype="float64")})]
+        for ks, x, d in zip(a["keys"], a["data"], a["dim"]):
+            m = np.frombuffer(x).reshape(-1, d)
+            best = np.full(len(m), -np.inf)
+            for others, y, e in zip(b["keys"], b["data"], b["dim"]):
+                if e == d:
+                    s = m @ np.frombuffer(y).reshape(-1, d).T
+                    _, i, j = np.intersect1d(ks, others, return_indices=True)
+                    if len(i):
+                        s[np.equal.outer(np.asarray(ks), np.asarray(others))] = -np.inf
+                    best = np.maximum(best, s.max(axis=1))
+            known = np.isfinite(best)
+            out.append(pd.DataFrame({key: np.asarray(ks)[known], "s": best[known]}))
+        return pd.concat(out)
 
-    best = each.join(p.drop("pdim"), "pb").select("keys", "data", "dim", "pdata").mapInPandas(product, f"{key} long, s double").groupBy(key).agg(F.max("s").alias("s"))
+    best = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInPandas(products, f"{key} long, s double").groupBy(key).agg(F.max("s").alias("s"))
     out = queries.select(F.col(key).cast("long").alias(key)).join(best, key, "left")
     return out.select(key, F.coalesce("s", F.lit(0.0)).alias("max_similarity"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.coalesce("s", F.lit(0.0)))).alias("novelty"))

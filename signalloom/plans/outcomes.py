@@ -107,7 +107,7 @@ def notification_batches(spark: SparkSession, folder: str) -> DataFrame:
 def novelty_max_cosine(spark: SparkSession, folder: str) -> DataFrame:
     """Novelty of the stated queries, every vector whose id is divisible by 100, against all other vectors."""
     v = table(spark, folder, "embeddings").select("vec_id", "embedding")
-    n = novelty(v.where("vec_id % 100 = 0"), v.where("vec_id % 100 <> 0"), "vec_id", "embedding")
+    n = novelty(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding")
     return n.select("vec_id", F.round("max_similarity", 5).alias("max_similarity"), F.round("novelty", 5).alias("novelty"))
 
 
@@ -139,6 +139,6 @@ SQL = {
     "weakness_contexts_union": f"WITH w AS ({_W}), x AS (SELECT ord, code, unnest(domains) AS domain FROM w UNION ALL SELECT rank + 100, code, NULL FROM (VALUES {', '.join(f'({r}, {c!r})' for r, c, _ in sorted(LEDGER)[:3])}) t(rank, code)) SELECT ord, code, coalesce(sum(n), 0)::BIGINT AS findings FROM x LEFT JOIN (SELECT domain, count(*) AS n FROM findings GROUP BY domain) p ON p.domain = x.domain GROUP BY ord, code",
     "published_upsert_preserve_outcome": f"SELECT id, source_kind, domain, CASE WHEN id LIKE '%3' THEN 'pending' ELSE outcome END AS outcome, published_at, round(CASE WHEN id LIKE '%1' OR id LIKE '%3' THEN (confidence::DOUBLE / 2)::FLOAT ELSE confidence END::DOUBLE, 4) AS confidence FROM ({_PUBLISHED})",
     "notification_batches": "SELECT id, domain, ((row_number() OVER (PARTITION BY domain ORDER BY confidence DESC, id) - 1) // 10)::INT AS chunk FROM findings WHERE confidence >= 0.5::FLOAT AND id NOT LIKE '%5'",
-    "novelty_max_cosine": "SELECT vec_id, round(s, 5) AS max_similarity, round(least(1, greatest(0, 1 - s)), 5) AS novelty FROM (SELECT q.vec_id, max(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS s FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 AND p.vec_id % 100 <> 0 GROUP BY q.vec_id)",
+    "novelty_max_cosine": "SELECT vec_id, round(s, 5) AS max_similarity, round(least(1, greatest(0, 1 - s)), 5) AS novelty FROM (SELECT q.vec_id, max(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS s FROM embeddings q, embeddings p WHERE q.vec_id % 100 = 0 AND p.vec_id <> q.vec_id GROUP BY q.vec_id)",
     "evaluation_adjust": "SELECT id, round(least(1::DOUBLE, greatest(0::DOUBLE, confidence::DOUBLE + CASE WHEN urgency = 'high' THEN 0.1::DOUBLE ELSE -0.3::DOUBLE END)) * CASE WHEN urgency = 'low' THEN 0.5::DOUBLE ELSE 1 END, 5) AS confidence FROM findings",
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.functions.scoring import contains_any, keyword_score_of, urgency_of
+from signalloom.functions.scoring import contains_any, urgency_of, with_keyword_score
 from signalloom.functions.text import token_text
+from signalloom.operators.backends import with_scores
 from signalloom.operators.relational import newest_of_each_text, page, ranked, unseen
+from signalloom.sources.storage import written
 from signalloom.sources.tables import table
 
 KEYWORDS = ["compiler", "under heavy load", "token budget", "inference"]
@@ -17,8 +21,7 @@ THRESHOLD = 0.25
 
 def scored(df: DataFrame, keywords=KEYWORDS, negatives=NEGATIVES) -> DataFrame:
     """Adds score; the tokens of a row are made once."""
-    t = df.withColumn("_c", token_text(F.col("content"))).withColumn("_s", token_text(F.col("summary")))
-    return t.withColumn("score", F.round(keyword_score_of(F.col("_c"), F.col("_s"), keywords, negatives), 6)).drop("_c", "_s")
+    return with_keyword_score(df, "content", "summary", keywords, negatives).withColumn("score", F.round("score", 6))
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,11 +80,19 @@ def incremental_scan_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return ranked(s, [F.desc("score"), F.desc("ingest_seq")], 500)
 
 
+def text_length(texts: Sequence[str]) -> list[float]:
+    """Stands in for a costly scorer."""
+    return [len(t) / 1000 for t in texts]
+
+
 def llm_topk_merge(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best get a second score, which overrides the first; the rest keep theirs."""
-    s = scored(_entries(spark, folder)).where("score > 0").select("id", "ingest_seq", "content", "score")
+    s = scored(_entries(spark, folder)).where("score > 0").select("id", "ingest_seq", "score")
+    # Written, so that the texts are scored once for both uses.
+    s = written(s, "scored")
     top = page(s.where(F.col("score") >= THRESHOLD), [F.desc("score"), F.desc("ingest_seq")], 10)
-    second = top.select(F.col("id").alias("sid"), F.round(F.least(F.lit(1.0), F.length("content") / 1000), 6).alias("llm"))
+    texts = table(spark, folder, "entries").select(F.col("id").alias("sid"), "content").join(F.broadcast(top.select(F.col("id").alias("sid"))), "sid", "left_semi")  # ten rows
+    second = with_scores(texts, "sid", "content", text_length).select("sid", F.round("score", 6).alias("llm"))
     j = s.join(second, s.id == second.sid, "left")
     final = F.coalesce("llm", "score")
     return j.select("id", final.alias("score"), F.when(F.col("llm").isNull(), "keyword").when(F.col("llm") >= 0.5, "matched").otherwise("scored_below_threshold").alias("disposition"))

@@ -67,7 +67,7 @@ def alias_dedup_insert_ignore(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def doi_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    d = table(spark, folder, "oa_works").where("doi is not null").select("rec_id", plain_doi(F.col("doi")).alias("doi"))
+    d = table(spark, folder, "oa_works").where("doi is not null").select("rec_id", plain_doi(F.col("doi"), r"doi\.(?:org|example)").alias("doi"))
     return d.select("rec_id", "doi", arxiv_from_doi(F.col("doi")).alias("arxiv_id"))
 
 

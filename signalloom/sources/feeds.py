@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from signalloom.functions.text import from_inverted, plain_doi, squeezed, url_encoded
 
@@ -60,9 +61,13 @@ def oa_results(df: DataFrame, payload: str) -> DataFrame:
 
 
 def rustsec_results(df: DataFrame, payload: str, keywords: list[str], most: int) -> DataFrame:
-    """Advisories whose text holds any keyword, the first ``most`` in feed order."""
-    r = df.select(F.posexplode(F.from_json(payload, RUSTSEC)["advisories"]).alias("pos", "r")).select("pos", "r.advisory.*", F.col("r.versions.patched").alias("patched"), F.col("r.versions.unaffected").alias("unaffected"))
-    return r.where(advisory_matches(keywords)).orderBy("pos").limit(most).withColumn("date", F.try_to_date("date", "yyyy-MM-dd")).drop("pos")
+    """Advisories whose text holds any keyword, of each payload the first ``most`` in feed order."""
+    numbered = df.select(F.monotonically_increasing_id().alias("_row"), F.from_json(payload, RUSTSEC)["advisories"].alias("all"))
+    r = numbered.select("_row", F.posexplode("all").alias("pos", "r")).select("_row", "pos", "r.advisory.*", F.col("r.versions.patched").alias("patched"), F.col("r.versions.unaffected").alias("unaffected"))
+    # A window per payload: what can't be among the first is dropped before the shuffle.
+    first = F.row_number().over(W.partitionBy("_row").orderBy("pos"))
+    kept = r.where(advisory_matches(keywords)).withColumn("_n", first).where(F.col("_n") <= most)
+    return kept.withColumn("date", F.try_to_date("date", "yyyy-MM-dd")).drop("_row", "pos", "_n")
 
 
 def advisory_matches(keywords: list[str]) -> Column:
@@ -73,9 +78,13 @@ def advisory_matches(keywords: list[str]) -> Column:
     return out
 
 
-def release_results(df: DataFrame, repo: str, payload: str) -> DataFrame:
+def release_results(df: DataFrame, repo: str, payload: str, most: int | None = None) -> DataFrame:
+    """Releases with a tag, of each repository the latest one; at most ``most`` repositories, by name."""
     r = df.select(F.col(repo).alias("full_name"), F.from_json(payload, RELEASE).alias("r")).select("full_name", "r.*").where("tag_name is not null")
-    return r.withColumn("published_at", F.try_to_timestamp("published_at"))
+    r = r.withColumn("published_at", F.try_to_timestamp("published_at"))
+    rest = [c for c in r.columns if c != "full_name"]
+    top = r.groupBy("full_name").agg(F.max(F.struct("published_at", F.struct(*rest).alias("row"))).alias("m")).select("full_name", *[F.col(f"m.row.{c}").alias(c) for c in rest])
+    return top if most is None else top.orderBy("full_name").limit(most)
 
 
 def query_arxiv(keywords: list[str], negatives: list[str]) -> Column:
@@ -86,12 +95,22 @@ def query_arxiv(keywords: list[str], negatives: list[str]) -> Column:
     return F.concat(F.lit("("), pos, F.lit(")+ANDNOT+"), neg)
 
 
+def query_oa(keywords: list[str]) -> Column:
+    return url_encoded(F.concat_ws(" ", *[F.lit(k) for k in keywords]))
+
+
+def query_github(keywords: list[str]) -> Column:
+    """Repositories that have any of the keywords; the search takes + for a blank."""
+    return F.concat_ws("+OR+", *[url_encoded(F.lit(k)) for k in keywords])
+
+
 def query_s2(keywords: list[str], negatives: list[str]) -> Column:
     return url_encoded(F.concat_ws(" ", *[F.lit(k) for k in keywords], *[F.lit("-" + n) for n in negatives]))
 
 
 def scope_hash(prefix: str, keywords: Column) -> Column:
-    return F.concat(F.lit(prefix), F.lower(F.hex(F.xxhash64(F.array_join(F.array_sort(keywords), "\x01")))))
+    """Names what was asked of a feed: the same for the same keywords in any order."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(F.array_join(F.array_sort(keywords), "\x01"), 256), 1, 16))
 
 
 def as_entries(papers: DataFrame, title: str, body: str, people: str, labels: str, label: str = "Categories") -> DataFrame:

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signalloom.operators import feedback, relational, state
+from signalloom.operators.relational import numbered
 from signalloom.operators.vectors import novelty
 
 
@@ -61,3 +62,30 @@ def test_watermarks(spark):
     taken = state.past_watermark(items, marks, "k", "t", "mark")
     assert sorted((r.k, r.t or 0) for r in taken.collect()) == [("a", 0), ("a", 5), ("b", 1)]
     assert {r.k: r.mark for r in state.advanced(marks, taken, "k", "t", "mark").collect()} == {"a": 5, "b": 1}
+
+
+def test_numbered_over_ranges_and_inside_groups(spark):
+    rows = [(i % 3 if i < 300 else 0, i * 7 % 401, i) for i in range(400)] + [(None, 5, 900), (None, 4, 901)]
+    df = spark.createDataFrame(rows, "g int, v int, id int").repartition(7)
+    got = {r.id: r.n for r in numbered(df, [F.asc("v"), F.asc("id")], "n").collect()}
+    want = {r[2]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2])))}
+    assert got == want
+    got = {(r.g, r.id): r.n for r in numbered(df, [F.desc("v"), F.asc("id")], "n", ["g"]).collect()}
+    for g in (0, 1, 2, None):
+        mine = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[g, r[2]] for r in mine] == list(range(len(mine)))
+    assert numbered(df.limit(0), [F.asc("v")], "n").count() == 0
+
+
+def test_a_query_is_no_prior_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr("signalloom.operators.vectors.BLOCK", 3)
+    monkeypatch.setattr("signalloom.operators.vectors.SIDE", 2)
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(40, 4))
+    vectors[7] = vectors[3] * 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)] + [(90, [1.0, 0.0])], "k long, v array<double>").repartition(3)
+    got = {r.k: r.max_similarity for r in novelty(df.where("k % 2 = 1 or k = 90"), df, "k", "v").collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    s = unit @ unit.T
+    np.fill_diagonal(s, -1)
+    assert got.pop(90) == 0 and got == pytest.approx({i: s[i].max() for i in range(1, 40, 2)}) and got[7] == pytest.approx(1)

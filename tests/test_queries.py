@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = [importlib.import_module(f"signalloom.plans.{m}") for m in ("ranking", "telemetry", "outcomes", "jobs", "feeds", "streams", "fields")]
+MODULES = [importlib.import_module(f"signalloom.plans.{m}") for m in ("ranking", "telemetry", "outcomes", "jobs", "feeds", "streams", "fields", "lookups")]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
