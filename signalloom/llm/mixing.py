@@ -4,7 +4,9 @@ The tokens of each source are laid end to end in a pseudorandom order of its
 texts and cut into blocks of fixed length.  Every output shard draws its counts
 per source from a multinomial; the slots of a source are mapped through a
 pseudorandom permutation of its block numbers, a new one for each pass over the
-source, and joined with the blocks.  No block is used more often than
+source, and joined with the blocks.  Shards are drawn in chunks, each from a seed of its own,
+so executors number and draw them; what chance put beyond a source's quota in
+the end is handed to the sources that fell short.  No block is used more often than
 max_repeats; the mix is as large as the scarcest source allows.
 
 Positions come from prefix sums over hashed buckets, so no source, however
@@ -17,11 +19,12 @@ are in no block; repeated rows are texts of their own.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ from signalloom.llm.tokens import token_count
 
 BLOCK = 512
 SLOTS = 256
-#: The shard plan (shards x sources) is made on the driver; beyond this many shards, shards grow instead.
-MAX_SHARDS = 10_000
+#: Shards drawn from one seed, and chunks drawn by one task (some 2 million slots, 100 MB).
+CHUNK, CHUNKS_PER_TASK = 1000, 8
 ROWS_PER_BUCKET = 20_000
 
 
@@ -72,63 +75,85 @@ def blocks(docs: DataFrame, sources: DataFrame, block: int = BLOCK, seed: int =
     return written(each.select("source", "block", "doc_id", begin.alias("tok_start"), end.alias("tok_end")), "blocks")
 
 
-def plan(have: dict[str, int], targets: list[tuple[str, float, int]], seed: int = 7) -> tuple[np.ndarray, list[str]]:
-    """Counts per shard and source; have: blocks per source. The size of the plan is bounded by MAX_SHARDS."""
+def quotas(have: dict[str, int], targets: list[tuple[str, float, int]]) -> tuple[int, list[str], list[int]]:
+    """(slots of the mix, sources, slots of each); have: blocks per source.  The mix is as large as the scarcest source allows."""
     use = [(s, t, r) for s, t, r in targets if have.get(s, 0) > 0 and t > 0 and r > 0]
     if not use:
-        return np.zeros((0, 0), np.int64), []
+        return 0, [], []
     share = np.array([t for _, t, _ in use]) / sum(t for _, t, _ in use)
     cap = np.array([have[s] * r for s, _, r in use])
     size = int(np.floor((cap / share).min()))
-    shards = int(min(MAX_SHARDS, max(1, size // SLOTS)))
-    slots = np.full(shards, size // shards, np.int64)
-    slots[: size % shards] += 1
-    counts = np.random.default_rng(seed).multinomial(slots, share)
-    # What chance put beyond or below the rounded quota is moved, one slot of a shard at a time, so that the totals meet the targets.
     quota = np.floor(share * size).astype(np.int64)
     quota[np.argsort(quota - share * size)[: size - quota.sum()]] += 1
     quota = np.minimum(quota, cap)
-    over = counts.sum(0) - quota
-    while (over > 0).any():
-        give = int(np.argmax(over))
-        take = int(np.argmin(over))
-        n = min(over[give], -over[take]) if over[take] < 0 else over[give]
-        room = np.minimum(counts[:, give], np.ceil(counts[:, give] * n / max(1, counts[:, give].sum())).astype(np.int64))
-        moved = np.minimum(room, np.maximum(0, n - np.concatenate([[0], np.cumsum(room)[:-1]])))
-        counts[:, give] -= moved
-        if over[take] < 0:
-            counts[:, take] += moved
-        over = counts.sum(0) - quota
-    return counts, [s for s, _, _ in use]
+    return int(quota.sum()), [s for s, _, _ in use], quota.tolist()
+
+
+def slots(spark: SparkSession, have: dict[str, int], size: int, names: list[str], quota: list[int], seed: int) -> DataFrame:
+    """shard, slot, source, pass, block of every slot; slots of a shard are not in order yet."""
+    schema = "shard long, slot long, source string, pass int, block long"
+    if not size:
+        return spark.createDataFrame([], schema)
+    shards = max(1, size // SLOTS)
+    share = np.array(quota) / size
+    per_chunk, base = CHUNK, size // shards
+    longer = size % shards
+
+    def drawn(chunk: int) -> np.ndarray:
+        """Slots per shard of the chunk and source."""
+        ids = np.arange(chunk * per_chunk, min(shards, (chunk + 1) * per_chunk))
+        return np.random.default_rng([seed, chunk]).multinomial(base + (ids < longer), share)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"chunk": b["id"], "counts": [drawn(int(c)).sum(0).tolist() for c in b["id"]]})
+
+    chunks = -(-shards // per_chunk)
+    tasks = -(-chunks // CHUNKS_PER_TASK)
+    counts = written(spark.range(0, chunks, 1, tasks).mapInPandas(count, "chunk long, counts array<long>"), "counts")
+    each = counts.select("chunk", F.posexplode("counts").alias("j", "n"))
+    # One row per 1000 shards and source.
+    before = F.coalesce(F.sum("n").over(W.partitionBy("j").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = each.withColumn("start", before).groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "start"))), lambda x: x["start"]).alias("starts"))
+    got = {r.j: r.n for r in each.groupBy("j").agg(F.sum("n").alias("n")).collect()}  # one row per source
+    total = np.array([got[j] for j in range(len(names))])
+    over, under = np.maximum(0, total - quota), np.maximum(0, np.array(quota) - total)
+    over_from, under_to = np.cumsum(over) - over, np.cumsum(under)
+    blocks = np.array([have[n] for n in names])
+    keys = [zlib.crc32(n.encode()) for n in names]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for chunk, start in zip(b["chunk"], b["starts"]):
+                n = drawn(int(chunk))
+                ids = np.arange(len(n)) + chunk * per_chunk
+                shard = np.concatenate([np.repeat(ids, n[:, j]) for j in range(len(names))])
+                source = np.repeat(np.arange(len(names)), n.sum(0))
+                q = np.concatenate([start[j] + np.arange(n[:, j].sum()) for j in range(len(names))])
+                # Beyond the quota: the same number among all that is over, counted into what is short.
+                late = q >= np.array(quota)[source]
+                place = over_from[source[late]] + q[late] - np.array(quota)[source[late]]
+                to = np.searchsorted(under_to, place, side="right")
+                q[late], source[late] = total[to] + place - (under_to[to] - under[to]), to
+                passes = q // blocks[source]
+                block = np.empty(len(q), np.int64)
+                for j, p in {(int(j), int(p)) for j, p in zip(source, passes)}:
+                    at = (source == j) & (passes == p)
+                    block[at] = permuted(q[at] % blocks[j], int(blocks[j]), seed + 31 * p + keys[j])
+                yield pd.DataFrame({"shard": shard, "slot": q, "source": np.array(names, object)[source], "pass": passes.astype("int32"), "block": block})
+
+    return starts.repartition(tasks, "chunk").mapInPandas(draw, schema)
 
 
 def mixed(docs: DataFrame, targets: DataFrame, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """shard, slot, source, pass, block, doc_id, tok_start, tok_end of the whole mix; targets is the fixed table source, target_share, max_repeats."""
-    spark = docs.sparkSession
     made = blocks(docs, targets, block, seed)
     have = {r["source"]: r["n"] for r in made.groupBy("source").agg((F.max("block") + 1).alias("n")).collect()}
     wanted = sorted((r.source, float(r.target_share), int(r.max_repeats)) for r in targets.collect())
-    counts, names = plan(have, wanted, seed)
-    schema = "shard long, slot long, source string, pass int, block long"
-    starts = np.cumsum(counts, 0) - counts
-    rows = [(int(i), names[j], int(starts[i, j]), int(counts[i, j]), have[names[j]]) for i in range(len(counts)) for j in range(len(names)) if counts[i, j]]
-    shards = spark.createDataFrame(rows, "shard long, source string, start long, n long, blocks long")
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for shard, source, start, n, total in b.itertuples(index=False):
-                q = np.arange(start, start + n)
-                passes = q // total
-                place = np.empty(n, np.int64)
-                for p in np.unique(passes):
-                    at = passes == p
-                    place[at] = permuted(q[at] % total, total, seed + 31 * int(p) + sum(source.encode()))
-                yield pd.DataFrame({"shard": shard, "slot": q, "source": source, "pass": passes.astype("int32"), "block": place})
-
-    slots = shards.repartition(max(1, min(len(rows), 64)), "shard", "source").mapInPandas(draw, schema)
+    mix = slots(docs.sparkSession, have, *quotas(have, wanted), seed)
     order = W.partitionBy("shard").orderBy(F.xxhash64("shard", "source", "slot"), "source", "slot")
-    slots = slots.withColumn("slot", F.row_number().over(order).cast("long"))
-    return slots.join(made, ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "tok_start", "tok_end")
+    mix = mix.withColumn("slot", F.row_number().over(order).cast("long"))
+    return mix.join(made, ["source", "block"]).select("shard", "slot", "source", "pass", "block", "doc_id", "tok_start", "tok_end")
 
 
 def shares(mix: DataFrame, targets: DataFrame) -> DataFrame:

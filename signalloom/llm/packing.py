@@ -24,8 +24,8 @@ from signalloom.llm.storage import written
 from signalloom.llm.tokens import token_count
 
 OPEN = 64
-#: Containers' worth of text per partition, and partitions merged into one per round.
-PER_PARTITION, FAN_IN = 256, 16
+#: Texts per partition (some 40 MB of sizes; the texts themselves take no part), and partitions merged into one per round.
+ROWS_PER_PARTITION, FAN_IN = 1_000_000, 16
 
 
 class Windows:
@@ -63,21 +63,23 @@ def pieces(sized: DataFrame, capacity: int) -> DataFrame:
 
 
 def _packer(capacity: int, out: str):
-    """Packs the rows of one partition in their order; ``out`` windows are named by partition and number, left ones marked."""
+    """Packs the rows of one partition in their order and hands each on at once; ``out`` windows are named by partition and number.
+
+    After the last row come the windows that are still open, as rows with ``used`` set.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId() << 32
         w = Windows(capacity)
-        kept = []
+        columns: list[str] = []
         for b in batches:
-            b = b.assign(**{out: [w.place(int(t)) for t in b["tokens"]]})
-            kept.append(b)
-        # Rows are marked only after the last one, as a window closes late; a partition holds PER_PARTITION containers' worth.
+            columns = list(b.columns)
+            yield b.assign(**{out: [part + w.place(int(t)) for t in b["tokens"]], "used": -1})
         left = w.left()
-        for b in kept:
-            yield b.assign(used=b[out].map(left).fillna(-1).astype("int64"), **{out: b[out].map(lambda k: (part << 32) + k)})
+        if left:
+            yield pd.DataFrame({**{c: 0 for c in columns}, out: [part + k for k in left], "used": list(left.values())})
 
     return run
 
@@ -87,15 +89,16 @@ def pack(sized: DataFrame, name: str, capacity: int) -> DataFrame:
     items = pieces(sized, capacity)
     whole = items.where(F.col("tokens") == capacity)
     rest = items.where(F.col("tokens") < capacity)
-    total = rest.agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
-    count = max(1, (total.t or 0) // (capacity * PER_PARTITION), total.n // 200_000)
+    total = rest.agg(F.count("*").alias("n")).first()
+    count = max(1, -(-total.n // ROWS_PER_PARTITION))
     schema = "doc_id long, piece int, tok_start long, tokens long, window long, used long"
     # Dealt out in turn, as one doc_id may hold many rows; the order inside a partition is fixed by a hash.
     placed = rest.repartition(count).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "tok_start", "tokens")
     placed = written(placed.mapInPandas(_packer(capacity, "window"), schema), "placed")
 
     # Rounds of merging what was left open: old window -> new window.
-    open_ = placed.where("used >= 0").groupBy("window").agg(F.max("used").alias("tokens"))
+    open_ = placed.where("used >= 0").select("window", F.col("used").alias("tokens"))
+    placed = placed.where("used < 0")
     moves: DataFrame | None = None
     level = 1
     while True:
@@ -103,15 +106,15 @@ def pack(sized: DataFrame, name: str, capacity: int) -> DataFrame:
         merged = open_.repartition(count, F.xxhash64(F.expr("window >> 32"))).sortWithinPartitions(F.desc("tokens"), "window")
         merged = written(merged.mapInPandas(_packer(capacity, "into"), "window long, tokens long, into long, used long"), "merged")
         # Levels number their windows apart from each other.
-        step = merged.select("window", (F.col("into") + F.lit(level << 56)).alias("into"), "used", "tokens")
-        pairs = step.select("window", "into")
+        step = merged.select("window", (F.col("into") + F.lit(level << 56)).alias("into"), "used")
+        pairs = step.where("used < 0").select("window", "into")
         if moves is None:
             moves = pairs
         else:
             moves = moves.join(pairs.select(F.col("window").alias("into"), F.col("into").alias("later")), "into", "left").select("window", F.coalesce("later", "into").alias("into"))
         if count == 1:
             break
-        open_ = step.where("used >= 0").groupBy(F.col("into").alias("window")).agg(F.sum("tokens").alias("tokens"))
+        open_ = step.where("used >= 0").select(F.col("into").alias("window"), F.col("used").alias("tokens"))
         level += 1
     final = placed.join(moves, "window", "left").select(F.coalesce("into", "window").alias("container"), "doc_id", "piece", "tok_start", "tokens")
     # A full piece is a container of its own.

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from signalloom.llm.mixing import mixed, permuted, plan, shares
+from signalloom.llm.mixing import mixed, permuted, quotas, shares, slots
 from signalloom.llm.packing import Windows, fill, pack
 from signalloom.llm.tokens import PART, count, encoder, token_count
 
@@ -45,7 +45,7 @@ def _packed(spark, rows):
 
 def test_pack_many_rounds(spark, monkeypatch):
     """Partitions of a few containers, so that what is left open is merged over several rounds."""
-    monkeypatch.setattr("signalloom.llm.packing.PER_PARTITION", 5)
+    monkeypatch.setattr("signalloom.llm.packing.ROWS_PER_PARTITION", 20)
     monkeypatch.setattr("signalloom.llm.packing.FAN_IN", 3)
     _packed(spark, _rows())
 
@@ -65,12 +65,24 @@ def test_permutation(n, key):
     assert sorted(permuted(np.arange(n), n, key)) == list(range(n))
 
 
-def test_plan_meets_targets_and_caps():
-    counts, names = plan({"a": 1000, "b": 10_000, "c": 0}, [("a", 0.5, 2), ("b", 0.4, 1), ("c", 0.1, 3)])
-    total = dict(zip(names, counts.sum(0)))
-    assert total["a"] <= 2000 and total["b"] <= 10_000
-    assert abs(total["a"] / counts.sum() - 0.5 / 0.9) < 0.002
-    assert plan({}, [("a", 1.0, 1)])[1] == []
+def test_quotas_meet_targets_and_caps():
+    size, names, quota = quotas({"a": 1000, "b": 10_000, "c": 0}, [("a", 0.5, 2), ("b", 0.4, 1), ("c", 0.1, 3)])
+    total = dict(zip(names, quota))
+    assert sum(quota) == size and total["a"] <= 2000 and total["b"] <= 10_000
+    assert abs(total["a"] / size - 0.5 / 0.9) < 0.002
+    assert quotas({}, [("a", 1.0, 1)])[1] == []
+
+
+def test_every_slot_is_drawn_once(spark, monkeypatch):
+    """Over many shards each source gets its quota, every place of a pass at most once, and no shard is empty."""
+    monkeypatch.setattr("signalloom.llm.mixing.SLOTS", 16)
+    monkeypatch.setattr("signalloom.llm.mixing.CHUNK", 4)
+    have = {"a": 300, "b": 2000}
+    size, names, quota = quotas(have, [("a", 0.3, 2), ("b", 0.7, 1)])
+    got = slots(spark, have, size, names, quota, 5).collect()
+    assert len(got) == size and {n: sum(r.source == n for r in got) for n in names} == dict(zip(names, quota))
+    assert len({(r.source, r["pass"], r.block) for r in got}) == size and all(r.block < have[r.source] for r in got)
+    assert {r.shard for r in got} == set(range(size // 16))
 
 
 def test_mix(spark):
