@@ -298,10 +298,17 @@ def parse(values: pd.Series, zone: pd.Series, day_order: pd.Series) -> pd.Series
 
 
 def utc_micros(value: Column, zone: Column, day_order: Column) -> Column:
-    """Column of UTC microseconds for a column of timestamps as received."""
+    """Column of UTC microseconds for a column of timestamps as received.
+
+    All rows are converted through one version of the zone tables, the driver's; an
+    executor that has another one fails instead of giving other instants.
+    """
+    version = zone_version()
 
     @F.pandas_udf(T.LongType())
     def convert(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        if zone_version() != version:
+            raise RuntimeError(f"zone tables of version {zone_version()} here, {version} at the driver")
         for v, z, o in batches:
             yield parse(v, z, o)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.scoring import local_embeddings
 from signalloom.functions.text import from_inverted, squeezed, tokens, truncated
+from signalloom.operators.feedback import linked
 from signalloom.sources.feeds import advisory_matches, as_entries
 from signalloom.sources.tables import table
 
@@ -56,7 +57,7 @@ def utf8_truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def local_embedding_norm(spark: SparkSession, folder: str) -> DataFrame:
-    v = local_embeddings(table(spark, folder, "entries").select("id", "content"), "id", "content", 64)
+    v = local_embeddings(table(spark, folder, "entries").select("id", "content"), "id", "content")
     return v.select("id", F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x)), 4).alias("norm"))
 
 
@@ -71,9 +72,18 @@ def export_findings_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def publish_payload_json(spark: SparkSession, folder: str) -> DataFrame:
-    f = table(spark, folder, "findings").select("*", F.concat_ws("", "summary", F.lit(" — "), "suggested_action", F.lit(" (domain: "), "domain", F.lit(")")).alias("hypothesis"))
+    """The document each finding is published as: what it may do, how new it is, and the weakness it is linked to or the gap it names."""
+    from signalloom.plans.outcomes import WEAKNESSES
+
+    f = table(spark, folder, "findings")
+    codes = linked(f.select("id", "domain", F.concat_ws(" ", "title", "summary").alias("text")), spark.createDataFrame(WEAKNESSES, "ord int, weakness_code string, domains array<string>"))
+    f = f.join(codes, "id").withColumn("hypothesis", F.concat_ws("", "summary", F.lit(" — "), "suggested_action", F.lit(" (domain: "), "domain", F.lit(")")))
     d = lambda c: F.col(c).cast("double").alias(c)
-    inner = F.struct("applicability_tags", F.col("hypothesis").alias("applicability_hypothesis"), F.col("cited_paper").alias("citation"), d("confidence"), "discovered_at", "domain", F.col("id").alias("finding_id"), d("impact_weight"), F.lit(0.5).alias("novelty_score"), F.col("urgency").alias("proposed_urgency"), "schema_version", F.col("source_type").alias("source_kind"), "source_title", "source_url", "suggested_action", "summary", "title")
+    gap = F.when(F.col("weakness_code").isNull(), F.col("title"))
+    kind = F.when(F.col("weakness_code").isNull(), "propose_capability_gap").otherwise("strengthen_existing")
+    link = F.struct(gap.alias("gap_summary"), kind.alias("link"), "weakness_code")
+    # A finding whose novelty was never measured counts as half new.
+    inner = F.struct("applicability_tags", F.col("hypothesis").alias("applicability_hypothesis"), F.col("cited_paper").alias("citation"), d("confidence"), "discovered_at", "domain", F.col("id").alias("finding_id"), d("impact_weight"), F.lit(0.5).alias("novelty_score"), F.col("urgency").alias("proposed_urgency"), "schema_version", F.col("source_type").alias("source_kind"), "source_title", "source_url", "suggested_action", "summary", "title", link.alias("weakness_link"))
     return f.select("id", F.to_json(F.struct(F.lit("v1").alias("contract_version"), inner.alias("finding"), F.lit("signalloom").alias("producer"))).alias("payload"))
 
 
@@ -96,3 +106,14 @@ SQL = {
 }
 _WORDS = "SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(concat_ws(' ', name, body)), '[^\\p{L}\\p{N}''\\-]+'), lambda x: x <> '')) AS w FROM github_releases"
 SQL["manifest_keywords"] = f"SELECT w AS keyword FROM ({_WORDS}) WHERE regexp_full_match(w, '[a-z][a-z0-9_\\-]{{3,}}') ORDER BY length(w) DESC, w LIMIT 25"
+
+
+def _prefix(room: int) -> str:
+    return f"substr(text, 1, list_max(list_filter(range(0, {room + 1}), lambda k: strlen(substr(text, 1, k)) <= {room})))"
+
+
+def _cut(prefix: str, dots: str = "") -> str:
+    return f"CASE WHEN strlen(text) <= 120 THEN text ELSE coalesce(nullif(regexp_extract({prefix}, '(?s)^(.*)\\s', 1), ''), {prefix}) || '{dots}' END"
+
+
+SQL["utf8_truncate"] = f"SELECT doc_id, {_cut('a')} AS head, {_cut('b', '...')} AS preview FROM (SELECT doc_id, text, {_prefix(120)} AS a, {_prefix(117)} AS b FROM documents)"
