@@ -1,5 +1,5 @@
 """The library's helpers for files that all executors share."""
 
-from signalloom.sources.storage import counted, shared_folder, written
+from signalloom.sources.storage import counted, removed, scratch, shared_folder, written
 
-__all__ = ["counted", "shared_folder", "written"]
+__all__ = ["counted", "removed", "scratch", "shared_folder", "written"]
